@@ -1,6 +1,5 @@
-"""Queries over the driver's tables, by family: each module has ``{name: (function, SQL or None)}``."""
+"""Queries over the driver's tables: ``QUERIES`` by name, and ``ORACLES`` with their SQL."""
 
-from __future__ import annotations
+from .catalogue import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
