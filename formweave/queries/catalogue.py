@@ -48,9 +48,9 @@ def text_norm_key(t):
     return t("benchmark").select("item_id", text.norm_key(F.col("text")).alias("label"))
 
 
-@query("SELECT doc_id, TRY_CAST(regexp_replace(text, '[^0-9]', '', 'g') AS BIGINT) AS n FROM documents")
+@query("SELECT doc_id, TRY_CAST(regexp_replace(text, '[^0-9]', '', 'g') AS BIGINT)::VARCHAR AS n FROM documents")
 def num_parse_int(t):
-    return t("documents").select("doc_id", numbers.parse_int(F.col("text")).alias("n"))
+    return t("documents").select("doc_id", numbers.parse_int(F.col("text")).cast("string").alias("n"))
 
 
 @query()
@@ -69,7 +69,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_discount * 100, 2
 
 
 @query("""
-SELECT o_orderkey, o_totalprice::DECIMAL(24,4) AS price, (floor(o_totalprice)::BIGINT % 1000 * 1000000)::DECIMAL(24,4) AS scaled,
+SELECT o_orderkey, round(o_totalprice, 2) AS price, (floor(o_totalprice)::BIGINT % 1000 * 1000000)::DOUBLE AS scaled,
   replace(format('{:,}', floor(o_totalprice)::BIGINT), ',', '.') AS shown FROM orders
 """)
 def num_parse_vn(t):
@@ -78,11 +78,11 @@ def num_parse_vn(t):
     shown = F.translate(F.format_number("o_totalprice", 2), ",.", ".,")
     whole = F.floor("o_totalprice")
     million = F.concat((whole % 1000).cast("string"), F.lit(" triệu đồng"))
-    return o.select("o_orderkey", numbers.parse_number(shown).alias("price"), numbers.parse_number(million).alias("scaled"), numbers.display_decimal(whole.cast("decimal(24,4)")).alias("shown"))
+    return o.select("o_orderkey", numbers.parse_number(shown).cast("double").alias("price"), numbers.parse_number(million).cast("double").alias("scaled"), numbers.display_decimal(whole.cast("decimal(24,4)")).alias("shown"))
 
 
 @query("""
-SELECT o_orderkey, o_orderdate::DATE AS numeric_date, o_orderdate::DATE AS worded_date,
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS numeric_date, strftime(o_orderdate, '%Y-%m-%d') AS worded_date,
   strftime(o_orderdate, '%Y-%m-%dT09:') || lpad((o_orderkey % 60)::VARCHAR, 2, '0') AS moment FROM orders
 """)
 def date_parse_search(t):
@@ -91,17 +91,17 @@ def date_parse_search(t):
     numeric = F.concat(F.lit("Signed on "), F.date_format(d, "dd.MM.yyyy"), F.lit(" in town"))
     worded = F.concat(F.lit("Ngày "), F.dayofmonth(d), F.lit(" tháng "), F.month(d), F.lit(" năm "), F.year(d))
     moment = F.concat(F.date_format(d, "dd/MM/yyyy"), F.lit(" 9h"), F.lpad((F.col("o_orderkey") % 60).cast("string"), 2, "0"))
-    return o.select("o_orderkey", dates.search_date(numeric).alias("numeric_date"), dates.search_date(worded).alias("worded_date"), dates.search_datetime(moment).alias("moment"))
+    return o.select("o_orderkey", dates.search_date(numeric).cast("string").alias("numeric_date"), dates.search_date(worded).cast("string").alias("worded_date"), dates.search_datetime(moment).alias("moment"))
 
 
 @query("""
-SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE o_orderdate::DATE END AS d FROM orders
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d FROM orders
 """)
 def date_parse_strict(t):
     o, d = t("orders"), F.col("o_orderdate")
     k = F.col("o_orderkey") % 5
     shown = F.when(k == 0, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss")).when(k == 1, F.date_format(d, "dd/MM/yyyy")).when(k == 2, F.date_format(d, "dd-MM-yyyy")).when(k == 3, F.date_format(d, "yyyy/MM/dd")).otherwise(F.concat(F.lit("on "), F.date_format(d, "dd/MM/yyyy")))
-    return o.select("o_orderkey", dates.parse_date(shown).alias("d"))
+    return o.select("o_orderkey", dates.parse_date(shown).cast("string").alias("d"))
 
 
 @query("""
