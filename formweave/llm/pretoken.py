@@ -18,37 +18,49 @@ class _Run(Exception):
 
 
 class _Memo(dict):
-    """A dictionary that computes what it lacks and empties itself when it is full."""
+    """A dictionary that computes what it lacks. Full, it becomes the old generation of a new one;
+    what is asked for again moves back, so frequent keys stay and ``2 * most`` are held at most."""
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= 64:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
 
 
+#: Marks that are a pre-token of their own at the end of a word.
+_MARKS = frozenset(".,;:!?")
+
+
 class PretokenEncoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers.
 
     ``engine(pre_token) -> list of ids`` is called for pre-tokens that aren't remembered.
     """
 
-    def __init__(self, pattern: str, engine, pretokens: int = 300_000, pieces: int = 250_000):
+    def __init__(self, pattern: str, engine, pretokens: int = 100_000, pieces: int = 250_000):
         self.find = regex.compile(pattern).findall
-        self.engine = engine
-        self.tokens = _Memo(lambda t: array("I", engine(t)).tobytes(), pretokens)
+        self.ids = lambda t: array("I", engine(t)).tobytes()
+        self.tokens = _Memo(self.ids, pretokens)
         self.pieces = _Memo(self._piece, pieces)
 
     def _whole(self, text: str) -> bytes:
         return b"".join(map(self.tokens.__getitem__, self.find(text)))
 
     def _piece(self, piece: str) -> bytes:
+        if piece.isalpha():
+            return self.ids(" " + piece)
+        if piece[-1:] in _MARKS and piece[:-1].isalpha():
+            return self.pieces[piece[:-1]] + self.tokens[piece[-1]]
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Run
         return self._whole(" " + piece)
