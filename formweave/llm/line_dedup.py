@@ -11,7 +11,9 @@ with the smallest doc_id, text hash and line number.
 
 from __future__ import annotations
 
+import math
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +44,18 @@ def simhash(lines: list[list[str]]) -> np.ndarray:
     """Fingerprints of lines of words (each with one word at least): a bit is set if over half the words have it."""
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(w) for line in lines for w in line], np.uint64)
+    hashes = np.fromiter(map(h, chain.from_iterable(lines)), np.uint64, int(size.sum()))
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(size)[:-1]]), axis=0, dtype=np.int32)
     return np.packbits(ones * 2 > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance by Myers' bit vectors in whole numbers of any length."""
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance by Myers' bit vectors in whole numbers of any length.
+
+    With ``most``, a bound on it that is at most ``most`` may stand for it: what differs between the
+    common ends never costs more than its longer side.
+    """
     k = 0
     least = min(len(a), len(b))
     while k < least and a[k] == b[k]:
@@ -59,6 +65,8 @@ def edit_distance(a: str, b: str) -> int:
         a, b = a[:-1], b[:-1]
     if not a or not b:
         return len(a) + len(b)
+    if most is not None and max(len(a), len(b)) <= most:
+        return max(len(a), len(b))
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
@@ -78,7 +86,8 @@ def edit_distance(a: str, b: str) -> int:
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     """Edit similarity, one minus distance over the longer length, at ``least`` or more."""
     longer = max(len(a), len(b))
-    return min(len(a), len(b)) >= least * longer and longer - edit_distance(a, b) >= least * longer
+    most = longer - math.ceil(least * longer)
+    return longer - min(len(a), len(b)) <= most and edit_distance(a, b, most) <= most
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -122,18 +131,28 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, radius: int, value, size: int, scratch: Scratch) -> DataFrame:
-    """Pairs of tiles ``(a, b, same)`` of rows that agree in a block of their fingerprint."""
+    """Pairs of tiles ``(a, b, same, block)`` of rows that agree in a block of their fingerprint."""
     n = radius + 1
     width = -(-64 // n)
     block = [F.lit(k << 40) + F.shiftrightunsigned(F.col("sh"), width * k).bitwiseAND(F.lit((1 << min(width, 64 - width * k)) - 1)) for k in range(n)]
     dealt = rows.withColumn("bucket", F.explode(F.array(*block)))
     t = tiles(dealt, "bucket", "key", value, size).where("size(items) > 1 or n_sub > 1")
     t = scratch.cut(t, "blocks")
-    one = t.where("n_sub = 1").select(F.col("items").alias("a"), F.col("items").alias("b"), F.lit(True).alias("same"))
+    at = F.shiftright("bucket", 40).cast("int").alias("block")
+    one = t.where("n_sub = 1").select(F.col("items").alias("a"), F.col("items").alias("b"), F.lit(True).alias("same"), at)
     many = t.where("n_sub > 1")
     other = many.select("bucket", F.col("sub").alias("sub_b"), F.col("items").alias("b"))
     pairs = many.select("bucket", "sub", F.col("items").alias("a")).join(other, "bucket").where("sub <= sub_b")
-    return one.unionByName(pairs.select("a", "b", (F.col("sub") == F.col("sub_b")).alias("same")))
+    return one.unionByName(pairs.select("a", "b", (F.col("sub") == F.col("sub_b")).alias("same"), at))
+
+
+def _first_block(x: np.ndarray, block: int, radius: int) -> np.ndarray:
+    """Which pairs, by the exclusive-or of their fingerprints, agree in no block before this one: each pair is verified once."""
+    width = -(-64 // (radius + 1))
+    out = np.ones(len(x), bool)
+    for k in range(block):
+        out &= (x >> np.uint64(width * k)) & np.uint64((1 << width) - 1) != 0
+    return out
 
 
 def _marked(nodes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
@@ -187,10 +206,12 @@ def _verified(texts: DataFrame, radius: int, similarity: float, scratch: Scratch
     def run(batches):
         for batch in batches:
             src, dst = [], []
-            same = batch.column(2).to_numpy(zero_copy_only=False)
+            same, block = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_pylist()
             for k in range(batch.num_rows):
                 (sa, ka, ta), (sb, kb, tb) = ([x.field(f) for f in ("sh", "key", "norm")] for x in (batch.column(0)[k].values, batch.column(1)[k].values))
                 i, j = near(sa.to_numpy().view(np.uint64), sb.to_numpy().view(np.uint64), radius, bool(same[k]))
+                once = _first_block(sa.to_numpy().view(np.uint64)[i] ^ sb.to_numpy().view(np.uint64)[j], block[k], radius)
+                i, j = i[once], j[once]
                 if not len(i):
                     continue
                 keys = ka.to_pylist() + kb.to_pylist()
@@ -240,7 +261,7 @@ def dedup_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMIL
     no line does (their text is then empty). Null texts stay null; rows that repeat doc_id and text
     are one document and are treated alike. No rows give no rows.
     """
-    drop = duplicate_lines(docs, radius, similarity, scratch).select(F.col("doc_id").alias("_fw_id"), F.col("th").alias("_fw_th"), F.col("drop").alias("_fw_drop"))
+    drop = duplicate_lines(docs, radius, similarity, scratch).select(F.col("doc_id").alias("_fw_id"), F.col("th").alias("_fw_th"), F.col("drop").alias("_fw_drop")).hint("shuffle_hash")
     joined = docs.withColumn("_fw_text", F.xxhash64(F.col("text").cast("string"))).join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col("_fw_id")) & (F.col("_fw_text") == F.col("_fw_th")), "left")
     lines = F.split("text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_fw_drop")
