@@ -84,6 +84,17 @@ def assign(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     return vectors.select("vec_id", "v").mapInArrow(run, "vec_id long, dim int, pivot int, dist double, norm2 double, v array<long>")
 
 
+def _shrink(x: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the narrowest type that holds them; readers get the width back from the length."""
+    low, high = x.min(), x.max()
+    return x.astype(next((t for t in (np.int8, np.int16, np.int32) if np.iinfo(t).min <= low and high <= np.iinfo(t).max), np.int64))
+
+
+def _widen(data: bytes, n: int, dim: int) -> np.ndarray:
+    """``n`` packed vectors as they went into ``_shrink``."""
+    return np.frombuffer(data, f"i{len(data) // (n * dim)}").reshape(n, dim).astype(np.int64)
+
+
 def pack(rows: DataFrame, size: int, base: str) -> DataFrame:
     """Rows sorted by (dim, pivot, dist) to blocks of ``size`` at most: bounds, ids and the matrix, row by row.
 
@@ -102,7 +113,7 @@ def pack(rows: DataFrame, size: int, base: str) -> DataFrame:
         def block():
             nonlocal number, held
             ids, dist, norm, data = zip(*held)
-            out = [number, *key, min(dist), max(dist), max(norm), len(held), np.array(ids).tobytes(), np.concatenate(data).tobytes()]
+            out = [number, *key, min(dist), max(dist), max(norm), len(held), np.array(ids).tobytes(), _shrink(np.concatenate(data)).tobytes()]
             number, held = number + 1, []
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names).cast(_BLOCK)
 
@@ -148,7 +159,7 @@ def _pairs(queries: DataFrame, meta: dict, pivots: dict, floors: DataFrame | Non
                 if dim not in metas:
                     continue
                 m = metas[dim]
-                q = np.frombuffer(b.column(3)[k].as_py(), np.int64).reshape(n, dim).astype(float)
+                q = _widen(b.column(3)[k].as_py(), n, dim).astype(float)
                 bound = _bounds(q, m, pivs.get(dim, np.zeros((1, dim))))
                 if not seeded:
                     use = np.unique(np.argsort(-bound, axis=1, kind="stable")[:, :first])
@@ -182,8 +193,9 @@ def _search(pairs: DataFrame, blocks: DataFrame, queries: DataFrame, k: int) ->
         for b in batches:
             for r in range(b.num_rows):
                 dim = b.column(0)[r].as_py()
-                ids, x, qids, q = (np.frombuffer(b.column(c)[r].as_py(), np.int64) for c in (1, 2, 3, 4))
-                s = _products(q.reshape(-1, dim), x.reshape(-1, dim))
+                ids, qids = (np.frombuffer(b.column(c)[r].as_py(), np.int64) for c in (1, 3))
+                x, q = _widen(b.column(2)[r].as_py(), len(ids), dim), _widen(b.column(4)[r].as_py(), len(qids), dim)
+                s = _products(q, x)
                 out = []
                 for i in range(len(qids)):
                     use = np.nonzero(ids != qids[i])[0]
