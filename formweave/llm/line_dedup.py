@@ -53,8 +53,9 @@ def simhash(lines: list[list[str]]) -> np.ndarray:
 def edit_distance(a: str, b: str, most: int | None = None) -> int:
     """Levenshtein distance by Myers' bit vectors in whole numbers of any length.
 
-    With ``most``, a bound on it that is at most ``most`` may stand for it: what differs between the
-    common ends never costs more than its longer side.
+    With ``most``, only whether it is at most ``most`` counts: an upper bound that is may stand for
+    it (what differs between the common ends never costs more than its longer side), and so may a
+    lower bound that isn't (each further character lowers the distance by one at best).
     """
     k = 0
     least = min(len(a), len(b))
@@ -72,7 +73,10 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
         where[c] = where.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << len(a) - 1
     up, down, score = full, 0, len(a)
-    for c in b:
+    over = math.inf if most is None else most + len(b)
+    for at, c in enumerate(b):
+        if score + at > over:
+            return score + at - len(b)
         eq = where.get(c, 0)
         x = (((eq & up) + up) ^ up) | eq | down
         ph, mh = down | ~(x | up) & full, up & x
@@ -83,11 +87,37 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     return score
 
 
+def _word_bound(a: str, b: str, most: int, reach: int = 8) -> int:
+    """At least the Levenshtein distance: the cost of one alignment by words, given up beyond ``most``.
+
+    Where words differ, the nearest place at which the next two agree again is looked for within
+    ``reach`` words; what lies between is replaced as a whole.
+    """
+    x, y, i, j, cost = a.split(" "), b.split(" "), 0, 0, 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        p = q = 1
+        for skip in range(1, reach + 1):
+            at = next((k for k in range(skip + 1) if x[i + k : i + k + 2] == y[j + skip - k : j + skip - k + 2] != []), None)
+            if at is not None:
+                p, q = at, skip - at
+                break
+        cost += max(sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + q])) + q)
+        if cost > most:
+            return cost
+        i, j = i + p, j + q
+    return cost + max(sum(map(len, x[i:])) + len(x) - i, sum(map(len, y[j:])) + len(y) - j)
+
+
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     """Edit similarity, one minus distance over the longer length, at ``least`` or more."""
     longer = max(len(a), len(b))
     most = longer - math.ceil(least * longer)
-    return longer - min(len(a), len(b)) <= most and edit_distance(a, b, most) <= most
+    if longer - min(len(a), len(b)) > most:
+        return False
+    return _word_bound(a, b, most) <= most or edit_distance(a, b, most) <= most
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
