@@ -293,7 +293,9 @@ def dedup_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMIL
     """
     drop = duplicate_lines(docs, radius, similarity, scratch).select(F.col("doc_id").alias("_fw_id"), F.col("th").alias("_fw_th"), F.col("drop").alias("_fw_drop")).hint("shuffle_hash")
     joined = docs.withColumn("_fw_text", F.xxhash64(F.col("text").cast("string"))).join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col("_fw_id")) & (F.col("_fw_text") == F.col("_fw_th")), "left")
-    lines = F.split("text", "\n", -1)
+    # A column of its own: within the lambda below, the text would be split again for every line.
+    joined = joined.withColumn("_fw_lines", F.when(F.col("_fw_drop").isNotNull(), F.split("text", "\n", -1)))
+    lines = F.col("_fw_lines")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_fw_drop")
     text = F.when(F.col("_fw_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     out = joined.withColumn("text", text)
