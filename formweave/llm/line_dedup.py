@@ -17,13 +17,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, bound_batches
 from .graph import connected_components
-from .tiles import near, tiles
+from .tiles import near, near_within, tiles
 
 RADIUS, SIMILARITY = 3, 0.8
 #: Marked nodes up to which their keys are broadcast (8 bytes each); beyond it they are joined.
@@ -176,29 +177,43 @@ def _blocks(rows: DataFrame, radius: int, value, size: int, scratch: Scratch) ->
     return one.unionByName(pairs.select("a", "b", (F.col("sub") == F.col("sub_b")).alias("same"), at))
 
 
-def _first_block(x: np.ndarray, block: int, radius: int) -> np.ndarray:
+def _first_block(x: np.ndarray, block, radius: int) -> np.ndarray:
     """Which pairs, by the exclusive-or of their fingerprints, agree in no block before this one: each pair is verified once."""
     width = -(-64 // (radius + 1))
     out = np.ones(len(x), bool)
-    for k in range(block):
-        out &= (x >> np.uint64(width * k)) & np.uint64((1 << width) - 1) != 0
+    for k in range(radius + 1):
+        out &= (k >= block) | ((x >> np.uint64(width * k)) & np.uint64((1 << width) - 1) != 0)
     return out
 
 
+#: Tiles up to this many rows are compared within themselves together with others of their batch.
+SHORT = 128
+
+
+def _near_pairs(batch: pa.RecordBatch, radius: int):
+    """``(a, i, b, j, block)``: rows ``a[i]`` and ``b[j]`` are near; block is one number or one for each pair."""
+    same = batch.column(2).to_numpy(zero_copy_only=False)
+    short = same & (pc.list_value_length(batch.column(0)).to_numpy() <= SHORT)
+    if short.any():
+        part = batch.filter(pa.array(short))
+        a, size = part.column(0).flatten(), pc.list_value_length(part.column(0)).to_numpy()
+        i, j = near_within(a.field("sh").to_numpy().view(np.uint64), size, radius)
+        yield a, i, a, j, np.repeat(part.column(3).to_numpy(), size)[i]
+    for k in np.flatnonzero(~short).tolist():
+        a, b = batch.column(0)[k].values, batch.column(1)[k].values
+        i, j = near(a.field("sh").to_numpy().view(np.uint64), b.field("sh").to_numpy().view(np.uint64), radius, bool(same[k]))
+        yield a, i, b, j, batch.column(3)[k].as_py()
+
+
 def _marked(nodes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     """``(key)`` of nodes with another node within the radius."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            same = batch.column(2).to_numpy(zero_copy_only=False)
-            for k in range(batch.num_rows):
-                (sa, ka), (sb, kb) = ((x.field("sh").to_numpy(), x.field("key").to_numpy()) for x in (batch.column(0)[k].values, batch.column(1)[k].values))
-                i, j = near(sa.view(np.uint64), sb.view(np.uint64), radius, bool(same[k]))
-                if len(i):
-                    out.append(np.unique(np.concatenate([ka[i], kb[j]])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], ["key"])
+            out = [np.zeros(0, np.int64)]
+            for a, i, b, j, _ in _near_pairs(batch, radius):
+                out += [a.field("key").to_numpy()[i], b.field("key").to_numpy()[j]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], ["key"])
 
     return _blocks(nodes, radius, F.struct("sh", "key"), 1024, scratch).mapInArrow(run, "key long").distinct()
 
@@ -235,32 +250,23 @@ def _verified(texts: DataFrame, radius: int, similarity: float, scratch: Scratch
 
     def run(batches):
         for batch in batches:
-            src, dst = [], []
-            same, block = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_pylist()
-            for k in range(batch.num_rows):
-                (sa, ka, ta), (sb, kb, tb) = ([x.field(f) for f in ("sh", "key", "norm")] for x in (batch.column(0)[k].values, batch.column(1)[k].values))
-                i, j = near(sa.to_numpy().view(np.uint64), sb.to_numpy().view(np.uint64), radius, bool(same[k]))
-                once = _first_block(sa.to_numpy().view(np.uint64)[i] ^ sb.to_numpy().view(np.uint64)[j], block[k], radius)
+            src, dst, up = [], [], {}
+
+            def root(x):
+                while (y := up.setdefault(x, x)) != x:
+                    up[x] = x = up[y]
+                return x
+
+            for a, i, b, j, block in _near_pairs(batch, radius):
+                once = _first_block((a.field("sh").to_numpy()[i] ^ b.field("sh").to_numpy()[j]).view(np.uint64), block, radius)
                 i, j = i[once], j[once]
-                if not len(i):
-                    continue
-                keys = ka.to_pylist() + kb.to_pylist()
-                texts = ta.to_pylist() + tb.to_pylist()
-                j = j if same[k] else j + len(ka)
-                up = list(range(len(keys)))
-
-                def root(x):
-                    while up[x] != x:
-                        up[x] = up[up[x]]
-                        x = up[x]
-                    return x
-
-                for x, y in zip(i.tolist(), j.tolist()):
+                ta, tb = a.field("norm"), b.field("norm")
+                for x, y, at, to in zip(a.field("key").to_numpy()[i].tolist(), b.field("key").to_numpy()[j].tolist(), i.tolist(), j.tolist()):
                     p, q = root(x), root(y)
-                    if p != q and similar(texts[x], texts[y], similarity):
+                    if p != q and similar(ta[at].as_py(), tb[to].as_py(), similarity):
                         up[max(p, q)] = min(p, q)
-                        src.append(keys[x])
-                        dst.append(keys[y])
+                        src.append(x)
+                        dst.append(y)
             if src:
                 yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 

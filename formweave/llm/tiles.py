@@ -49,3 +49,17 @@ def near(a: np.ndarray, b: np.ndarray, radius: int, same: bool, cells: int = 1 <
         li.append(i)
         lj.append(j)
     return (np.concatenate(li), np.concatenate(lj)) if li else (np.zeros(0, int), np.zeros(0, int))
+
+
+def near_within(v: np.ndarray, size: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs ``i < j`` as of ``near``, within each of the consecutive runs of ``size`` fingerprints; meant for many short runs."""
+    rest = np.repeat(np.cumsum(size), size) - np.arange(len(v)) - 1
+    at, li, lj = np.flatnonzero(rest > 0), [np.zeros(0, int)], [np.zeros(0, int)]
+    step = 1
+    while len(at):
+        hit = at[np.bitwise_count(v[at] ^ v[at + step]) <= radius]
+        li.append(hit)
+        lj.append(hit + step)
+        step += 1
+        at = at[rest[at] >= step]
+    return np.concatenate(li), np.concatenate(lj)
