@@ -27,8 +27,8 @@ from .graph import connected_components
 from .tiles import near, near_within, tiles
 
 RADIUS, SIMILARITY = 3, 0.8
-#: Marked nodes up to which their keys are broadcast (8 bytes each); beyond it they are joined.
-BROADCAST_KEYS = 1_000_000
+#: Wanted lines up to which they are broadcast (some 60 bytes each); beyond it they are joined.
+BROADCAST_LINES = 500_000
 
 _words = re.compile(r"\w+").findall
 
@@ -218,31 +218,28 @@ def _marked(nodes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     return _blocks(nodes, radius, F.struct("sh", "key"), 1024, scratch).mapInArrow(run, "key long").distinct()
 
 
-def _texts(docs: DataFrame, marked: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(key, sh, norm)`` of the marked nodes, each once."""
-    spark = docs.sparkSession
-    few = marked.count() <= BROADCAST_KEYS
-    keys = spark.sparkContext.broadcast(np.sort(np.array([r.key for r in marked.collect()], np.int64)) if few else None)
+def _texts(docs: DataFrame, marked: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(key, sh, norm)`` of the marked nodes, each once, from the lines that stand first for them.
+
+    The wanted lines go to the documents: broadcast where their counted number allows it, by a join
+    on the document otherwise.
+    """
+    lines = scratch.cut(nodes.join(marked, "key", "left_semi").select("first.*", "key", "sh"), "wanted")
+    wanted = lines.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("h")).agg(F.collect_list(F.struct("line_no", "key", "sh")).alias("lines"))
+    wanted = F.broadcast(wanted) if lines.count() <= BROADCAST_LINES else wanted
+    rows = _rows(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).select("text", "lines")
 
     def run(batches):
-        only = keys.value
         for b in batches:
-            norms = [w for t in b.column(2).to_pylist() for x in (t or "").split("\n") if (w := normalise(x))]
-            if not norms:
-                continue
-            k = np.array([line_key(x) for x in norms], np.uint64).view(np.int64)
-            if only is not None:
-                at = np.searchsorted(only, k)
-                keep = np.nonzero(only[np.minimum(at, len(only) - 1)] == k)[0] if len(only) else np.zeros(0, int)
-                keep = keep[np.unique(k[keep], return_index=True)[1]]
-                norms, k = [norms[i] for i in keep], k[keep]
-            if norms:
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(simhash([x.split(" ") for x in norms]).view(np.int64)), pa.array(norms)], ["key", "sh", "norm"])
-
-    rows = _rows(docs).mapInArrow(run, "key long, sh long, norm string")
-    if not few:
-        rows = rows.join(marked, "key", "left_semi")
-    return rows.groupBy("key").agg(F.min("sh").alias("sh"), F.min("norm").alias("norm"))
+            norms, at = [], b.column(1)
+            for k, text in enumerate(b.column(0).to_pylist()):
+                split = text.split("\n")
+                norms += [normalise(split[i]) for i in at[k].values.field("line_no").to_pylist()]
+            fields = at.flatten()
+            yield pa.RecordBatch.from_arrays([fields.field("key"), fields.field("sh"), pa.array(norms, pa.string())], ["key", "sh", "norm"])
+
+    # Rows that repeat a document give its lines repeatedly.
+    return rows.mapInArrow(run, "key long, sh long, norm string").groupBy("key").agg(F.min("sh").alias("sh"), F.min("norm").alias("norm"))
 
 
 def _verified(texts: DataFrame, radius: int, similarity: float, scratch: Scratch) -> DataFrame:
@@ -281,7 +278,7 @@ def duplicate_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = S
     # Null ids sort first in a structure, as they do in an order.
     nodes = scratch.cut(every.groupBy("key").agg(F.min("sh").alias("sh"), F.min(F.struct("doc_id", "th", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
     marked = scratch.cut(_marked(nodes.select("key", "sh"), radius, scratch), "marked")
-    links = _verified(scratch.cut(_texts(docs, marked, scratch), "texts"), radius, similarity, scratch)
+    links = _verified(scratch.cut(_texts(docs, marked, nodes, scratch), "texts"), radius, similarity, scratch)
     groups = connected_components(links, scratch).withColumnRenamed("node", "key")
     grouped = nodes.join(groups, "key", "left").withColumn("component", F.coalesce("component", "key"))
     best = grouped.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).where("total > 1")
