@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import re
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +37,110 @@ def normalise(line: str) -> str:
     return " ".join(_words(line.lower()))
 
 
-def line_key(norm: str) -> int:
+def line_key(norm: str | bytes) -> int:
     return xxhash.xxh64_intdigest(norm, 1)
 
 
-def simhash(lines: list[list[str]]) -> np.ndarray:
-    """Fingerprints of lines of words (each with one word at least): a bit is set if over half the words have it."""
-    size = np.fromiter(map(len, lines), np.int64, len(lines))
-    h = xxhash.xxh64_intdigest
-    hashes = np.fromiter(map(h, chain.from_iterable(lines)), np.uint64, int(size.sum()))
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(size)[:-1]]), axis=0, dtype=np.int32)
+#: Bytes that belong to a word: letters, digits, the underscore, and all of letters beyond ASCII.
+_WORD = np.array([c > 127 or chr(c).isalnum() or c == 95 for c in range(256)])
+_odd = re.compile(r"[^\w\x00-\x7f]")
+_BASE = 0x9E3779B97F4A7C15 | 1
+#: Characters whose lines are worked on at once; a longer line is worked on by itself.
+CHUNK = 1 << 19
+
+
+@lru_cache(maxsize=4)
+def _powers(size: int, base: int) -> np.ndarray:
+    """1, base, base squared ... modulo 2**64, ``size`` of them."""
+    out = np.full(size, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    """Spread each hash over all its bits (xor-shifts and odd multipliers)."""
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ h >> np.uint64(shift)) * np.uint64(by)
+    return h ^ h >> np.uint64(31)
+
+
+def simhash(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Fingerprints of lines of word hashes, given by first word and number of words (one at least):
+    a bit is set if over half the words have it."""
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    # Eight counters to a number: up to 255 words are added at once.
+    parts = -(-size // 255)
+    at = np.cumsum(parts) - parts
+    start = np.repeat(first, parts) + 255 * (np.arange(int(parts.sum())) - np.repeat(at, parts))
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
+    ones = np.add.reduceat(bits, start, axis=0).view(np.uint8)
+    ones = np.add.reduceat(ones, at, axis=0, dtype=np.int64)
     return np.packbits(ones * 2 > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def line_prints(text: str) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """``(line_no, norm, sh)`` of the lines of a text that have a word: normalised in UTF-8, with its fingerprint.
+
+    All words of the text are hashed at once: a polynomial of a word's bytes, modulo 2**64, mixed.
+    """
+    low = text.lower()
+    if not low.isascii():
+        points = np.frombuffer(low.encode("utf-32-le"), np.uint32)
+        # The pattern is slow over a whole text, and most have no such mark.
+        if _odd.search("".join(map(chr, np.unique(points[points > 127]).tolist()))):
+            low = _odd.sub(" ", low)
+    b = np.frombuffer(low.encode(), np.uint8)
+    word = _WORD[b]
+    before = np.concatenate([[False], word[:-1]])
+    s = np.flatnonzero(word & ~before)
+    if not len(s):
+        return np.zeros(0, np.int64), [], np.zeros(0, np.uint64)
+    e = np.flatnonzero(word & ~np.concatenate([word[1:], [False]]))
+    room = 1 << max(20, (len(b) - 1).bit_length())
+    poly = np.where(word, b, 0).astype(np.uint64) * _powers(room, _BASE)[: len(b)]
+    hashes = _mix(np.add.reduceat(poly, s) * _powers(room, pow(_BASE, -1, 1 << 64))[s])
+    first = np.searchsorted(s, np.concatenate([[0], np.flatnonzero(b == 10) + 1]))
+    size = np.diff(np.append(first, len(s)))
+    line = np.flatnonzero(size)
+    first, size = first[line], size[line]
+    keep = word | before
+    at = np.cumsum(keep) - 1
+    data = np.where(word, b, np.uint8(32))[keep].tobytes()
+    norms = [data[i:j] for i, j in zip(at[s[first]].tolist(), (at[e[first + size - 1]] + 1).tolist())]
+    return line, norms, simhash(hashes, first, size)
+
+
+def _chunks(texts: list[str | None]):
+    """``(text, rows, numbers)``: texts joined to chunks, with the row and number of each of a chunk's lines.
+
+    Texts longer than a chunk are cut behind lines.
+    """
+    held, chars, rows, lines, begin = [], 0, [], [], []
+    for k, text in enumerate(texts):
+        text, at, line = text or "", 0, 0
+        while at is not None:
+            end = text.find("\n", at + CHUNK) if len(text) - at > CHUNK else -1
+            part, at = (text[at:end], end + 1) if end >= 0 else (text[at:], None)
+            n = part.count("\n") + 1
+            held.append(part)
+            rows.append(k)
+            lines.append(n)
+            begin.append(line)
+            chars, line = chars + len(part) + 1, line + n
+            if chars >= CHUNK:
+                yield _chunk(held, rows, lines, begin)
+                held, chars, rows, lines, begin = [], 0, [], [], []
+    if held:
+        yield _chunk(held, rows, lines, begin)
+
+
+def _chunk(held, rows, lines, begin):
+    n = np.array(lines)
+    number = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - np.array(begin), n)
+    return "\n".join(held), np.repeat(np.array(rows), n), number
+
+
 def edit_distance(a: str, b: str, most: int | None = None) -> int:
     """Levenshtein distance by Myers' bit vectors in whole numbers of any length.
 
@@ -127,31 +217,14 @@ def occurrences(docs: DataFrame) -> DataFrame:
     def run(batches):
         names = ["doc_id", "th", "line_no", "key", "sh"]
         for b in batches:
-            row, no, keys, lines, words = [], [], [], [], 0
-            sh = []
-
-            def flush():
-                nonlocal lines, words
-                if lines:
-                    sh.append(simhash(lines))
-                lines, words = [], 0
-
-            for k, text in enumerate(b.column(2).to_pylist()):
-                for at, line in enumerate((text or "").split("\n")):
-                    if w := _words(line.lower()):
-                        row.append(k)
-                        no.append(at)
-                        keys.append(line_key(" ".join(w)))
-                        lines.append(w)
-                        words += len(w)
-                        if words >= 8192:
-                            flush()
-            flush()
-            if row:
-                at = pa.array(row, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(at), b.column(1).take(at), pa.array(no, pa.int32()), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.concatenate(sh).view(np.int64))], names
-                )
+            for text, rows, numbers in _chunks(b.column(2).to_pylist()):
+                line, norms, sh = line_prints(text)
+                if len(line):
+                    at = pa.array(rows[line])
+                    keys = np.fromiter(map(line_key, norms), np.uint64, len(norms)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(at), b.column(1).take(at), pa.array(numbers[line], pa.int32()), pa.array(keys), pa.array(sh.view(np.int64))], names
+                    )
 
     return _rows(docs).mapInArrow(run, "doc_id long, th long, line_no int, key long, sh long")
 

@@ -105,7 +105,44 @@ def test_topk(spark):
     assert exact_topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_lines(spark, texts):
+def line_fingerprint(norm):
+    """One word after another: a polynomial of its bytes, mixed, modulo 2**64."""
+    hashes = []
+    for w in norm.split(" "):
+        h = sum(c * pow(0x9E3779B97F4A7C15, k, 2**64) for k, c in enumerate(w.encode())) % 2**64
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ h >> shift) * by % 2**64
+        hashes.append(h ^ h >> 31)
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in hashes) > len(hashes))
+
+
+def test_line_prints():
+    rng = random.Random(3)
+    odd = ["", "\n", " — \n\n", "É ß!x\n—\nŒ_1\r", "ΑΣ\nΣ b\u2028c\x85d", "१२ İ ²\u0301e", "😀 日本語。ok", "w " * 700 + "\n" + "only"]
+    some = ["".join(rng.choice("ab É—1_\n.,日") for _ in range(rng.randrange(300))) for _ in range(200)]
+    for text in odd + some:
+        line, norms, sh = line_dedup.line_prints(text)
+        want = [(k, n) for k, x in enumerate(text.split("\n")) if (n := line_dedup.normalise(x))]
+        assert list(zip(line.tolist(), [n.decode() for n in norms])) == want
+        assert sh.tolist() == [line_fingerprint(n) for _, n in want]
+
+
+def test_lines_of_chunks(spark, monkeypatch):
+    rows = [(i, "\n".join(f"row {i % 7} of {k} words" for k in range(i))) for i in range(40)]
+    want = {tuple(r) for r in line_dedup.occurrences(frame(spark, rows)).collect()}
+    monkeypatch.setattr(line_dedup, "CHUNK", 50)
+    for texts in ([t for _, t in rows], [None, "", "x" * 200 + "\n\ny"]):
+        got = []
+        for text, at, no in line_dedup._chunks(texts):
+            line, norms, _ = line_dedup.line_prints(text)
+            got += zip(at[line].tolist(), no[line].tolist(), norms)
+        assert got == [(k, n, line_dedup.normalise(x).encode()) for k, t in enumerate(texts) for n, x in enumerate((t or "").split("\n")) if line_dedup.normalise(x)]
+    assert len(want) == sum(range(40))
+
+
+@pytest.mark.parametrize("most", [line_dedup.BROADCAST_LINES, -1])
+def test_lines(spark, texts, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
     rows = texts[:-1]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
     nodes = {}
@@ -114,12 +151,12 @@ def test_lines(spark, texts):
             if n := line_dedup.normalise(line):
                 nodes.setdefault(n, []).append((i, k))
     keys = list(nodes)
-    fps = line_dedup.simhash([k.split(" ") for k in keys])
+    fps = [line_fingerprint(k) for k in keys]
     group = list(range(len(keys)))
     for _ in keys:
         for a in range(len(keys)):
             for b in range(a):
-                if int(fps[a] ^ fps[b]).bit_count() <= 3 and line_dedup.similar(keys[a], keys[b]):
+                if (fps[a] ^ fps[b]).bit_count() <= 3 and line_dedup.similar(keys[a], keys[b]):
                     group[a] = group[b] = min(group[a], group[b])
     keep = {min(o for k, g in zip(keys, group) if g == c for o in nodes[k]) for c in set(group)}
     want = {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not line_dedup.normalise(x) or (i, k) in keep) for i, t in rows}
