@@ -2,8 +2,12 @@
 
 Lines are normalised (lower case, words joined by single spaces) and get a 64-bit SimHash of their
 words. Equal lines are one node. Nodes are dealt by pigeonhole blocks: with radius r, two
-fingerprints within r bits agree in one of r + 1 blocks. A first pass over the blocks only marks the
-nodes that have a neighbour; the texts of those alone are fetched, dealt by blocks again, and
+fingerprints within r bits agree in one of r + 1 blocks. A changed word moves a short line's
+fingerprint further than that, so with ``banded`` nodes are also dealt by bands of minimum hashes: of the words of
+``LONG`` bytes or more (all words where there are none), and for lines of up to ``BRIEF`` bytes of
+their three-byte pieces. All that share a band and whose lengths allow the similarity are
+candidates. A first pass over the blocks only marks the nodes that have a candidate; the texts of
+those alone are fetched, dealt by blocks again, and
 candidates are verified by edit similarity, skipping pairs that are connected already, so a dense
 group costs about as many checks as it has lines. One occurrence per connected group stays: the one
 with the smallest doc_id, text hash and line number.
@@ -27,6 +31,8 @@ from .graph import connected_components
 from .tiles import near, near_within, tiles
 
 RADIUS, SIMILARITY = 3, 0.8
+#: Bands of a line, minimum hashes in a band of words and of pieces, and bytes that decide which a line has.
+BANDS, ROWS_WORDS, ROWS_PIECES, LONG, BRIEF, WORDY = 8, 3, 3, 5, 64, 32
 #: Wanted lines up to which they are broadcast (some 60 bytes each); beyond it they are joined.
 BROADCAST_LINES = 500_000
 
@@ -80,7 +86,45 @@ def simhash(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarr
 
 
 def line_prints(text: str) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """``(line_no, norm, sh)`` of the lines of a text that have a word: normalised in UTF-8, with its fingerprint.
+    """``(line_no, norm, sh)`` of the lines of a text that have a word: normalised in UTF-8, with its fingerprint."""
+    line, norms, hashes, first, size, _ = _line_words(text)
+    return line, norms, simhash(hashes, first, size)
+
+
+_SALTS = np.array([pow(_BASE, 2 * k + 3, 1 << 64) for k in range(BANDS * max(ROWS_WORDS, ROWS_PIECES))], np.uint64)
+
+
+def _min_hashes(hashes: np.ndarray, size: np.ndarray, rows: int) -> np.ndarray:
+    """Bands of consecutive runs of ``size`` feature hashes (one at least): 32 bits for each run and band."""
+    out, at = np.zeros((len(size), BANDS), np.uint64), np.cumsum(size) - size
+    for k in range(BANDS):
+        for salt in _SALTS[k * rows : (k + 1) * rows]:
+            out[:, k] = _mix(out[:, k] ^ np.minimum.reduceat(hashes * salt, at))
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
+def line_bands(norms: list[bytes], hashes: np.ndarray, size: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which lines have bands of words, these, which have bands of pieces, and these; by lines of ``size`` words of ``width`` bytes."""
+    chars = np.fromiter(map(len, norms), np.int64, len(norms))
+    of = np.repeat(np.arange(len(size)), size)
+    keep = width >= LONG
+    keep |= np.bincount(of[keep], minlength=len(size))[of] == 0
+    keep &= chars[of] > WORDY
+    wordy, brief = np.flatnonzero(chars > WORDY), np.flatnonzero(chars <= BRIEF)
+    words = _min_hashes(hashes[keep], np.bincount(of[keep], minlength=len(size))[wordy], ROWS_WORDS) if len(wordy) else np.zeros((0, BANDS), np.uint32)
+    pieces = np.zeros((0, BANDS), np.uint32)
+    if len(brief):
+        b = np.frombuffer(b"".join(b" %b " % norms[k] for k in brief.tolist()), np.uint8).astype(np.uint64)
+        end = np.cumsum(chars[brief] + 2)
+        inside = np.ones(len(b), bool)
+        inside[end - 1] = inside[end - 2] = False
+        at = np.flatnonzero(inside)
+        pieces = _min_hashes(_mix(b[at] << np.uint64(16) | b[at + 1] << np.uint64(8) | b[at + 2]), chars[brief], ROWS_PIECES)
+    return wordy, words, brief, pieces
+
+
+def _line_words(text: str) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(line_no, norm, hashes, first, size, width)``: the hash and bytes of each word, and each line's first word and number of words.
 
     All words of the text are hashed at once: a polynomial of a word's bytes, modulo 2**64, mixed.
     """
@@ -95,7 +139,8 @@ def line_prints(text: str) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     before = np.concatenate([[False], word[:-1]])
     s = np.flatnonzero(word & ~before)
     if not len(s):
-        return np.zeros(0, np.int64), [], np.zeros(0, np.uint64)
+        none = np.zeros(0, np.int64)
+        return none, [], np.zeros(0, np.uint64), none, none, none
     e = np.flatnonzero(word & ~np.concatenate([word[1:], [False]]))
     room = 1 << max(20, (len(b) - 1).bit_length())
     poly = np.where(word, b, 0).astype(np.uint64) * _powers(room, _BASE)[: len(b)]
@@ -108,7 +153,25 @@ def line_prints(text: str) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     at = np.cumsum(keep) - 1
     data = np.where(word, b, np.uint8(32))[keep].tobytes()
     norms = [data[i:j] for i, j in zip(at[s[first]].tolist(), (at[e[first + size - 1]] + 1).tolist())]
-    return line, norms, simhash(hashes, first, size)
+    return line, norms, hashes, first, size, e - s + 1
+
+
+_DEALT, _DEALT_TYPES = ["chars", "words", "pieces"], "chars int, words array<int>, pieces array<int>"
+
+
+def _dealt_by(norms: list[bytes], hashes: np.ndarray, size: np.ndarray, width: np.ndarray, banded: bool) -> list[pa.Array]:
+    """Columns of lines: characters, and the bands of words and of pieces, null where a line has none."""
+
+    def column(at, bands):
+        n = np.zeros(len(norms), bool)
+        n[at] = True
+        ends = np.concatenate([[0], np.cumsum(n * BANDS)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands.view(np.int32).ravel()), mask=pa.array(~n))
+
+    none = np.zeros(0, np.int64), np.zeros((0, BANDS), np.uint32)
+    wordy, words, brief, pieces = line_bands(norms, hashes, size, width) if banded else none * 2
+    chars = [len(x) if x.isascii() else len(x.decode()) for x in norms]
+    return [pa.array(chars, pa.int32()), column(wordy, words), column(brief, pieces)]
 
 
 def _chunks(texts: list[str | None]):
@@ -213,20 +276,26 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """``(doc_id, th, line_no, key, sh)`` of each line that has a word; ``th`` is a hash of the whole text."""
+    return _occurrences(docs, False).select("doc_id", "th", "line_no", "key", "sh")
+
+
+def _occurrences(docs: DataFrame, banded: bool) -> DataFrame:
+    """``occurrences`` with ``chars, words, pieces``: characters and 32-bit numbers of the bands, null where a line has none."""
 
     def run(batches):
-        names = ["doc_id", "th", "line_no", "key", "sh"]
+        names = ["doc_id", "th", "line_no", "key", "sh", *_DEALT]
         for b in batches:
             for text, rows, numbers in _chunks(b.column(2).to_pylist()):
-                line, norms, sh = line_prints(text)
+                line, norms, hashes, first, size, width = _line_words(text)
                 if len(line):
+                    sh = simhash(hashes, first, size)
                     at = pa.array(rows[line])
                     keys = np.fromiter(map(line_key, norms), np.uint64, len(norms)).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(at), b.column(1).take(at), pa.array(numbers[line], pa.int32()), pa.array(keys), pa.array(sh.view(np.int64))], names
+                        [b.column(0).take(at), b.column(1).take(at), pa.array(numbers[line], pa.int32()), pa.array(keys), pa.array(sh.view(np.int64)), *_dealt_by(norms, hashes, size, width, banded)], names
                     )
 
-    return _rows(docs).mapInArrow(run, "doc_id long, th long, line_no int, key long, sh long")
+    return _rows(docs).mapInArrow(run, f"doc_id long, th long, line_no int, key long, sh long, {_DEALT_TYPES}")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -235,11 +304,13 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, radius: int, value, size: int, scratch: Scratch) -> DataFrame:
-    """Pairs of tiles ``(a, b, same, block)`` of rows that agree in a block of their fingerprint."""
+    """Pairs of tiles ``(a, b, same, block)`` of rows that agree in a block of their fingerprint, or in a band, whose numbers follow."""
     n = radius + 1
     width = -(-64 // n)
     block = [F.lit(k << 40) + F.shiftrightunsigned(F.col("sh"), width * k).bitwiseAND(F.lit((1 << min(width, 64 - width * k)) - 1)) for k in range(n)]
-    dealt = rows.withColumn("bucket", F.explode(F.array(*block)))
+    bands = [F.expr(f"coalesce(transform({c}, (x, i) -> shiftleft(cast({n + k * BANDS} + i as bigint), 40) + (cast(x as bigint) & 4294967295L)), cast(array() as array<bigint>))") for k, c in enumerate(("words", "pieces"))]
+    # Fingerprints don't count within a band.
+    dealt = rows.withColumn("bucket", F.explode(F.concat(F.array(*block), *bands))).withColumn("sh", F.when(F.col("bucket") < n << 40, F.col("sh")).otherwise(F.lit(0)))
     t = tiles(dealt, "bucket", "key", value, size).where("size(items) > 1 or n_sub > 1")
     t = scratch.cut(t, "blocks")
     at = F.shiftright("bucket", 40).cast("int").alias("block")
@@ -251,48 +322,87 @@ def _blocks(rows: DataFrame, radius: int, value, size: int, scratch: Scratch) ->
 
 
 def _first_block(x: np.ndarray, block, radius: int) -> np.ndarray:
-    """Which pairs, by the exclusive-or of their fingerprints, agree in no block before this one: each pair is verified once."""
+    """Which pairs, by the exclusive-or of their fingerprints, agree in no block before this one: each pair is verified once. Pairs of bands all count."""
     width = -(-64 // (radius + 1))
     out = np.ones(len(x), bool)
     for k in range(radius + 1):
         out &= (k >= block) | ((x >> np.uint64(width * k)) & np.uint64((1 << width) - 1) != 0)
-    return out
+    return out | (np.asarray(block) > radius)
 
 
 #: Tiles up to this many rows are compared within themselves together with others of their batch.
 SHORT = 128
 
 
-def _near_pairs(batch: pa.RecordBatch, radius: int):
-    """``(a, i, b, j, block)``: rows ``a[i]`` and ``b[j]`` are near; block is one number or one for each pair."""
+#: Pairs that are held at once.
+PAIRS = 1 << 20
+
+
+def _most(longer: np.ndarray, similarity: float) -> np.ndarray:
+    """The distance that the similarity allows."""
+    return longer - np.ceil(similarity * longer)
+
+
+def _near_pairs(batch: pa.RecordBatch, radius: int, similarity: float):
+    """``(a, i, b, j, block)``: rows ``a[i]`` and ``b[j]`` are near and not too different in length; block is one number or one for each pair."""
+    for a, i, b, j, block in _bucket_pairs(batch, radius):
+        m, n = a.field("chars").to_numpy()[i], b.field("chars").to_numpy()[j]
+        fit = np.abs(m - n) <= _most(np.maximum(m, n), similarity)
+        yield a, i[fit], b, j[fit], block[fit] if isinstance(block, np.ndarray) else block
+
+
+def _bucket_pairs(batch: pa.RecordBatch, radius: int):
     same = batch.column(2).to_numpy(zero_copy_only=False)
     short = same & (pc.list_value_length(batch.column(0)).to_numpy() <= SHORT)
     if short.any():
         part = batch.filter(pa.array(short))
         a, size = part.column(0).flatten(), pc.list_value_length(part.column(0)).to_numpy()
-        i, j = near_within(a.field("sh").to_numpy().view(np.uint64), size, radius)
-        yield a, i, a, j, np.repeat(part.column(3).to_numpy(), size)[i]
+        sh, block, end = a.field("sh").to_numpy().view(np.uint64), np.repeat(part.column(3).to_numpy(), size), np.cumsum(size)
+        group = np.cumsum(size.astype(np.int64) ** 2) // PAIRS
+        for g in np.unique(group).tolist():
+            at = np.flatnonzero(group == g)
+            low = end[at[0]] - size[at[0]]
+            i, j = near_within(sh[low : end[at[-1]]], size[at], radius)
+            yield a, i + low, a, j + low, block[i + low]
     for k in np.flatnonzero(~short).tolist():
         a, b = batch.column(0)[k].values, batch.column(1)[k].values
         i, j = near(a.field("sh").to_numpy().view(np.uint64), b.field("sh").to_numpy().view(np.uint64), radius, bool(same[k]))
         yield a, i, b, j, batch.column(3)[k].as_py()
 
 
-def _marked(nodes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
-    """``(key)`` of nodes with another node within the radius."""
+def _bag(norms: pa.Array) -> np.ndarray:
+    """How many characters of each of 32 kinds the texts have."""
+    chars = pc.utf8_length(norms).to_numpy()
+    points = np.frombuffer("".join(norms.to_pylist()).encode("utf-32-le"), np.uint32)
+    cell = np.repeat(np.arange(len(chars)) * 32, chars) + (points & 31)
+    return np.bincount(cell, minlength=len(chars) * 32).reshape(-1, 32).astype(np.int32)
+
+
+def _bags_fit(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs the similarity isn't ruled out for: the distance is at least what one bag has more than the other."""
+    out = np.zeros(len(a), bool)
+    for at in range(0, len(a), 1 << 16):
+        x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+        least = np.maximum(np.maximum(x - y, 0).sum(1), np.maximum(y - x, 0).sum(1))
+        out[at : at + (1 << 16)] = least <= _most(np.maximum(x.sum(1), y.sum(1)), similarity)
+    return out
+
+
+def _marked(nodes: DataFrame, radius: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """``(key)`` of nodes with a candidate."""
 
     def run(batches):
         for batch in batches:
             out = [np.zeros(0, np.int64)]
-            for a, i, b, j, _ in _near_pairs(batch, radius):
-                out += [a.field("key").to_numpy()[i], b.field("key").to_numpy()[j]]
+            for a, i, b, j, _ in _near_pairs(batch, radius, similarity):
+                out += [np.unique(a.field("key").to_numpy()[i]), np.unique(b.field("key").to_numpy()[j])]
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], ["key"])
 
-    return _blocks(nodes, radius, F.struct("sh", "key"), 1024, scratch).mapInArrow(run, "key long").distinct()
+    return _blocks(nodes, radius, F.struct("sh", "key", "chars"), 1024, scratch).mapInArrow(run, "key long").distinct()
 
 
-def _texts(docs: DataFrame, marked: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(key, sh, norm)`` of the marked nodes, each once, from the lines that stand first for them.
+def _texts(docs: DataFrame, marked: DataFrame, nodes: DataFrame, scratch: Scratch, banded: bool) -> DataFrame:
+    """``(key, sh, norm, chars, words, pieces)`` of the marked nodes, each once, from the lines that stand first for them.
 
     The wanted lines go to the documents: broadcast where their counted number allows it, by a join
     on the document otherwise.
@@ -309,10 +419,17 @@ def _texts(docs: DataFrame, marked: DataFrame, nodes: DataFrame, scratch: Scratc
                 split = text.split("\n")
                 norms += [normalise(split[i]) for i in at[k].values.field("line_no").to_pylist()]
             fields = at.flatten()
-            yield pa.RecordBatch.from_arrays([fields.field("key"), fields.field("sh"), pa.array(norms, pa.string())], ["key", "sh", "norm"])
+            yield pa.RecordBatch.from_arrays([fields.field("key"), fields.field("sh"), pa.array(norms, pa.string()), *_deal_again(norms, banded)], ["key", "sh", "norm", *_DEALT])
 
     # Rows that repeat a document give its lines repeatedly.
-    return rows.mapInArrow(run, "key long, sh long, norm string").groupBy("key").agg(F.min("sh").alias("sh"), F.min("norm").alias("norm"))
+    return rows.mapInArrow(run, f"key long, sh long, norm string, {_DEALT_TYPES}").groupBy("key").agg(*(F.min(c).alias(c) for c in ("sh", "norm", *_DEALT)))
+
+
+def _deal_again(norms: list[str], banded: bool) -> list[pa.Array]:
+    _, same, hashes, _, size, width = _line_words("\n".join(norms))
+    if not same:
+        return [pa.array([], pa.int32()), *[pa.array([], pa.list_(pa.int32()))] * 2]
+    return _dealt_by(same, hashes, size, width, banded)
 
 
 def _verified(texts: DataFrame, radius: int, similarity: float, scratch: Scratch) -> DataFrame:
@@ -327,9 +444,16 @@ def _verified(texts: DataFrame, radius: int, similarity: float, scratch: Scratch
                     up[x] = x = up[y]
                 return x
 
-            for a, i, b, j, block in _near_pairs(batch, radius):
+            last = bags = None
+            for a, i, b, j, block in _near_pairs(batch, radius, similarity):
+                if not len(i):
+                    continue
                 once = _first_block((a.field("sh").to_numpy()[i] ^ b.field("sh").to_numpy()[j]).view(np.uint64), block, radius)
                 i, j = i[once], j[once]
+                if last is not a:
+                    last, bags = a, _bag(a.field("norm"))
+                fit = _bags_fit(bags[i], (bags if b is a else _bag(b.field("norm")))[j], similarity)
+                i, j = i[fit], j[fit]
                 ta, tb = a.field("norm"), b.field("norm")
                 for x, y, at, to in zip(a.field("key").to_numpy()[i].tolist(), b.field("key").to_numpy()[j].tolist(), i.tolist(), j.tolist()):
                     p, q = root(x), root(y)
@@ -340,18 +464,18 @@ def _verified(texts: DataFrame, radius: int, similarity: float, scratch: Scratch
             if src:
                 yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    return _blocks(texts, radius, F.struct("sh", "key", "norm"), 256, scratch).mapInArrow(run, "src long, dst long")
+    return _blocks(texts, radius, F.struct("sh", "key", "chars", "norm"), 256, scratch).mapInArrow(run, "src long, dst long")
 
 
-def duplicate_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, scratch: Scratch | None = None) -> DataFrame:
+def duplicate_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, scratch: Scratch | None = None, banded: bool = False) -> DataFrame:
     """``(doc_id, th, drop)``: numbers (from 0) of the lines to drop, for the texts that have any."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     bound_batches(docs.sparkSession)
-    every = scratch.cut(occurrences(docs), "lines")
+    every = scratch.cut(_occurrences(docs, banded), "lines")
     # Null ids sort first in a structure, as they do in an order.
-    nodes = scratch.cut(every.groupBy("key").agg(F.min("sh").alias("sh"), F.min(F.struct("doc_id", "th", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
-    marked = scratch.cut(_marked(nodes.select("key", "sh"), radius, scratch), "marked")
-    links = _verified(scratch.cut(_texts(docs, marked, nodes, scratch), "texts"), radius, similarity, scratch)
+    nodes = scratch.cut(every.groupBy("key").agg(*(F.min(c).alias(c) for c in ("sh", *_DEALT)), F.min(F.struct("doc_id", "th", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
+    marked = scratch.cut(_marked(nodes.select("key", "sh", *_DEALT), radius, similarity, scratch), "marked")
+    links = _verified(scratch.cut(_texts(docs, marked, nodes, scratch, banded), "texts"), radius, similarity, scratch)
     groups = connected_components(links, scratch).withColumnRenamed("node", "key")
     grouped = nodes.join(groups, "key", "left").withColumn("component", F.coalesce("component", "key"))
     best = grouped.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).where("total > 1")
@@ -360,14 +484,15 @@ def duplicate_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = S
     return rows.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, scratch: Scratch | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, scratch: Scratch | None = None, banded: bool = False) -> DataFrame:
     """The rows of ``docs`` without the repeated lines in ``text``; ``n_chars``, if it is there, follows.
 
     Every line with a word counts, whatever its length; lines without one stay. Rows stay even if
     no line does (their text is then empty). Null texts stay null; rows that repeat doc_id and text
-    are one document and are treated alike. No rows give no rows.
+    are one document and are treated alike. No rows give no rows. Candidates are the lines within
+    the radius; with ``banded``, as the query and the pipeline have it, those that share a band too.
     """
-    drop = duplicate_lines(docs, radius, similarity, scratch).select(F.col("doc_id").alias("_fw_id"), F.col("th").alias("_fw_th"), F.col("drop").alias("_fw_drop")).hint("shuffle_hash")
+    drop = duplicate_lines(docs, radius, similarity, scratch, banded).select(F.col("doc_id").alias("_fw_id"), F.col("th").alias("_fw_th"), F.col("drop").alias("_fw_drop")).hint("shuffle_hash")
     joined = docs.withColumn("_fw_text", F.xxhash64(F.col("text").cast("string"))).join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col("_fw_id")) & (F.col("_fw_text") == F.col("_fw_th")), "left")
     # A column of its own: within the lambda below, the text would be split again for every line.
     joined = joined.withColumn("_fw_lines", F.when(F.col("_fw_drop").isNotNull(), F.split("text", "\n", -1)))

@@ -37,7 +37,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = line_dedup.dedup_lines(docs.select("doc_id", "text"))
+    out = line_dedup.dedup_lines(docs.select("doc_id", "text"), banded=True)
     lines = F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.size(F.split("text", "\n", -1)))
     return out.select("doc_id", lines.alias("lines_left"), F.length("text").alias("chars_left"), F.md5("text").alias("text_md5"))
 

@@ -165,6 +165,17 @@ def test_lines(spark, texts, monkeypatch, most):
     assert line_dedup.dedup_lines(frame(spark, texts)).columns == frame(spark, []).columns
 
 
+def test_lines_with_changed_words(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 8)))
+    lines = [[word() for _ in range(n)] for n in (10, 12, 20, 30, 40, 60) for _ in range(5)]
+    near = [[*w[: len(w) // 2], word(), *w[len(w) // 2 + 1 :]] for w in lines]
+    text = [" ".join(w) for w in lines + near]
+    assert all(line_dedup.similar(a, b) for a, b in zip(text, text[30:]))
+    got = line_dedup.dedup_lines(frame(spark, list(enumerate(text))), banded=True).collect()
+    assert {r.doc_id for r in got if r.text} == set(range(30))
+
+
 def test_edit_distance():
     rng = random.Random(1)
     for _ in range(500):
