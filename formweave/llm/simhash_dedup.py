@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Scratch, bound_batches
 from .graph import connected_components
@@ -54,6 +55,20 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def with_fingerprint(docs: DataFrame, name: str, words: int = 3) -> DataFrame:
+    """The rows of ``docs`` with their fingerprints in a further column."""
+    bound_batches(docs.sparkSession)
+    schema = StructType([*docs.schema.fields, StructField(name, LongType())])
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(b.schema.get_field_index("text")).cast(pa.string()).cast(pa.binary()).to_pylist()
+            fps = np.array([text_fingerprint(t or b"", words) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], [*b.schema.names, name])
+
+    return docs.mapInArrow(run, schema)
+
+
 def cell(fp: F.Column) -> F.Column:
     """The four population counts of a fingerprint as one number."""
     out = F.lit(0)
