@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import Scratch, bound_batches
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 16, 8
 #: Characters of the items that one index holds; a larger benchmark is searched index by index.
@@ -36,6 +36,10 @@ def words(text: str) -> list[str]:
     return _words(text.lower())
 
 
+def grams(tokens: list[str] | tuple[str, ...]) -> list[tuple[str, ...]]:
+    return list(zip(*(tokens[j:] for j in range(min(SHINGLE, len(tokens))))))
+
+
 def hashes(tokens: list[str]) -> np.ndarray:
     h = xxhash.xxh64_intdigest
     return np.array([h(w) for w in tokens], np.uint64)
@@ -71,19 +75,24 @@ class _Item:
 
 
 class BenchmarkIndex:
-    """Items of one bounded part of the benchmark, equal ones (after normalising) once."""
+    """Items of one bounded part of the benchmark, equal ones (after normalising) once.
+
+    ``spread`` has the number of items in the whole benchmark for shingles that several hold; without it,
+    the rows are the whole.
+    """
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], spread: dict[tuple[str, ...], int] | None = None):
         same: dict[tuple[str, ...], list[int]] = {}
         for i, text in rows:
             if w := words(text or ""):
                 same.setdefault(tuple(w), []).append(i)
         self.items, fps, shingles = [], [], {}
-        counts = [Counter(zip(*(w[j:] for j in range(min(SHINGLE, len(w)))))) for w in same]
-        spread = Counter(g for c in counts for g in c)
-        self.weight = {g: 1.0 / n for g, n in spread.items()}
-        for k, ((w, ids), grams) in enumerate(zip(same.items(), counts)):
-            self.items.append(_Item(min(ids), sorted(set(ids)), len(w), grams, sum(self.weight[g] * n for g, n in grams.items())))
+        counts = [Counter(grams(w)) for w in same]
+        if spread is None:
+            spread = Counter(g for c in counts for g in c)
+        self.weight = {g: 1.0 / spread.get(g, 1) for c in counts for g in c}
+        for k, ((w, ids), held) in enumerate(zip(same.items(), counts)):
+            self.items.append(_Item(min(ids), sorted(set(ids)), len(w), held, sum(self.weight[g] * n for g, n in held.items())))
             h, n = hashes(list(w)), min(SHINGLE, len(w))
             fps.append(window_fingerprints(h, np.array([0]), len(w))[0])
             for g in np.unique(rolling(h, n)).tolist():
@@ -154,12 +163,36 @@ class BenchmarkIndex:
 
 
 def indexes(benchmark: DataFrame, most: int = INDEX_CHARS) -> list[BenchmarkIndex]:
-    """The benchmark in indexes of about ``most`` characters; parts are by a hash of the normalised text's id."""
+    """The benchmark in indexes of about ``most`` characters, by a hash of the words; shingles weigh as in the whole benchmark."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     total = rows.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
     n = max(1, -(-total // most))
-    part = F.pmod(F.xxhash64(F.lower("text")), F.lit(n))
-    return [BenchmarkIndex(sorted((r.item_id, r.text) for r in rows.where(part == k).toLocalIterator())) for k in range(n)]
+    if n == 1:
+        return [BenchmarkIndex(sorted((r.item_id, r.text) for r in rows.toLocalIterator()))]
+
+    def run(batches):
+        for b in batches:
+            held = [words(t) for t in b.column(1).to_pylist()]
+            norms = [" ".join(w) for w in held]
+            parts = [xxhash.xxh64_intdigest(x) % n for x in norms]
+            shingles = [sorted({" ".join(g) for g in grams(w)}) for w in held]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(norms, pa.string()), pa.array(parts, pa.int32()), pa.array(shingles, pa.list_(pa.string()))], ["item_id", "text", "norm", "part", "grams"]
+            )
+
+    scratch = Scratch(benchmark.sparkSession, "benchmark")
+    items = scratch.cut(rows.mapInArrow(run, "item_id long, text string, norm string, part int, grams array<string>"), "items")
+    once = items.groupBy("norm").agg(F.first("part").alias("part"), F.first("grams").alias("grams")).select("part", F.explode("grams").alias("gram"))
+    # Counts of each part first, then of all: a shingle that every item holds makes one row for each part.
+    each = scratch.cut(once.groupBy("part", "gram").agg(F.count(F.lit(1)).alias("n")), "each")
+    several = each.groupBy("gram").agg(F.sum("n").alias("items")).where("items > 1")
+    several = scratch.cut(each.select("part", "gram").join(several, "gram"), "several")
+    out = []
+    for k in range(n):
+        spread = {tuple(r.gram.split(" ")): r["items"] for r in several.where(F.col("part") == k).toLocalIterator()}
+        mine = items.where(F.col("part") == k).select("item_id", "text").toLocalIterator()
+        out.append(BenchmarkIndex(sorted((r.item_id, r.text) for r in mine), spread))
+    return out
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -206,6 +206,22 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_in_parts(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    common = [word() for _ in range(15)]
+    items = [" ".join(common + [word() for _ in range(15)]) for _ in range(20)]
+    rows = [*enumerate(items), *((100 + k, t.replace(" ", ", ").upper()) for k, t in enumerate(items))]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    whole, parts = decontaminate.indexes(bench, 10**9), decontaminate.indexes(bench, 500)
+    assert len(whole) == 1 < len(parts)
+    swap = lambda t, n, at: " ".join([word() for _ in range(n)] + t.split()[n:at] + [word() for _ in range(30 - at)])
+    for t in items + [swap(t, n, at) for t in items for n in (0, 5, 10, 15) for at in (24, 27, 30)]:
+        want = [(i, ids, round(sim, 9), d, s) for i, ids, sim, d, s in whole[0].matches(t)]
+        assert sorted((i, ids, round(sim, 9), d, s) for p in parts for i, ids, sim, d, s in p.matches(t)) == want
+    assert all(ids == [i, 100 + i] for p in parts for t in items for i, ids, *_ in p.matches(t))
+
+
 def test_classifiers(spark):
     rng = random.Random(4)
     en, de = ["the", "and", "house", "with"], ["der", "und", "haus", "mit"]
