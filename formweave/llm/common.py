@@ -61,8 +61,10 @@ class Scratch:
         out._fw_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        remove(self.spark, df._fw_path)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing to come reads."""
+        for df in tables:
+            remove(self.spark, df._fw_path)
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -1,16 +1,20 @@
 """Operator 6: fuzzy line deduplication.
 
 Lines are normalised (lower case, words joined by single spaces) and get a 64-bit SimHash of their
-words. Equal lines are one node. Nodes are dealt by pigeonhole blocks: with radius r, two
-fingerprints within r bits agree in one of r + 1 blocks. A changed word moves a short line's
-fingerprint further than that, so with ``banded`` nodes are also dealt by bands of minimum hashes: of the words of
-``LONG`` bytes or more (all words where there are none), and for lines of up to ``BRIEF`` bytes of
-their three-byte pieces. All that share a band and whose lengths allow the similarity are
-candidates. A first pass over the blocks only marks the nodes that have a candidate; the texts of
-those alone are fetched, dealt by blocks again, and
-candidates are verified by edit similarity, skipping pairs that are connected already, so a dense
-group costs about as many checks as it has lines. One occurrence per connected group stays: the one
-with the smallest doc_id, text hash and line number.
+words; hash and SimHash together name a node, and equal lines are one. Nodes are dealt by pigeonhole
+blocks: with radius r, two fingerprints within r bits agree in one of r + 1 blocks. A changed word
+moves a short line's fingerprint further than that, so with ``banded`` nodes are also dealt by bands
+of minimum hashes: of the words of ``LONG`` bytes or more (all words where there are none), and for
+lines of up to ``BRIEF`` bytes of their three-byte pieces.
+
+A bucket is the top of a 64-bit number whose rest rules candidates out: the other bits of the
+fingerprint in a block, a class of length in a band. Rows are sorted in ranges of (bucket, key), so a
+bucket of any size spreads over partitions. Runs that lie in one range are compared as they stream
+by; those cut by a range's end or over ``TILE`` rows go in tiles, pair by pair. Only rows
+with a candidate are kept, once for each bucket that gave it one, and only their texts are
+fetched. Candidates are verified by edit similarity, each in the first bucket it shares and only where
+its ends aren't connected already, so a dense group costs about as many checks as it has lines. One
+occurrence per connected group stays: the one with the smallest doc_id, text hash and line number.
 """
 
 from __future__ import annotations
@@ -28,13 +32,18 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, bound_batches
 from .graph import connected_components
-from .tiles import near, near_within, tiles
 
 RADIUS, SIMILARITY = 3, 0.8
-#: Bands of a line, minimum hashes in a band of words and of pieces, and bytes that decide which a line has.
-BANDS, ROWS_WORDS, ROWS_PIECES, LONG, BRIEF, WORDY = 8, 3, 3, 5, 64, 32
-#: Wanted lines up to which they are broadcast (some 60 bytes each); beyond it they are joined.
-BROADCAST_LINES = 500_000
+#: Bands of words and of pieces, and minimum hashes in each.
+WORD_BANDS, WORD_ROWS, PIECE_BANDS, PIECE_ROWS = 6, 3, 12, 5
+#: Bytes of the words that count, least bytes of a line with bands of words, most of one with bands of pieces.
+LONG, WORDY, BRIEF = 5, 32, 64
+#: Differing bits beyond which a shared band of words makes no candidate.
+LOOSE = 14
+#: Base of the classes of length, of which there are 256.
+CLASS = 1.05
+#: Rows of a bucket that are compared in one piece.
+TILE = 2048
 
 _words = re.compile(r"\w+").findall
 
@@ -91,13 +100,13 @@ def line_prints(text: str) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     return line, norms, simhash(hashes, first, size)
 
 
-_SALTS = np.array([pow(_BASE, 2 * k + 3, 1 << 64) for k in range(BANDS * max(ROWS_WORDS, ROWS_PIECES))], np.uint64)
+_SALTS = np.array([pow(_BASE, 2 * k + 3, 1 << 64) for k in range(max(WORD_BANDS * WORD_ROWS, PIECE_BANDS * PIECE_ROWS))], np.uint64)
 
 
-def _min_hashes(hashes: np.ndarray, size: np.ndarray, rows: int) -> np.ndarray:
+def _min_hashes(hashes: np.ndarray, size: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """Bands of consecutive runs of ``size`` feature hashes (one at least): 32 bits for each run and band."""
-    out, at = np.zeros((len(size), BANDS), np.uint64), np.cumsum(size) - size
-    for k in range(BANDS):
+    out, at = np.zeros((len(size), bands), np.uint64), np.cumsum(size) - size
+    for k in range(bands if len(size) else 0):
         for salt in _SALTS[k * rows : (k + 1) * rows]:
             out[:, k] = _mix(out[:, k] ^ np.minimum.reduceat(hashes * salt, at))
     return (out >> np.uint64(32)).astype(np.uint32)
@@ -111,15 +120,13 @@ def line_bands(norms: list[bytes], hashes: np.ndarray, size: np.ndarray, width:
     keep |= np.bincount(of[keep], minlength=len(size))[of] == 0
     keep &= chars[of] > WORDY
     wordy, brief = np.flatnonzero(chars > WORDY), np.flatnonzero(chars <= BRIEF)
-    words = _min_hashes(hashes[keep], np.bincount(of[keep], minlength=len(size))[wordy], ROWS_WORDS) if len(wordy) else np.zeros((0, BANDS), np.uint32)
-    pieces = np.zeros((0, BANDS), np.uint32)
-    if len(brief):
-        b = np.frombuffer(b"".join(b" %b " % norms[k] for k in brief.tolist()), np.uint8).astype(np.uint64)
-        end = np.cumsum(chars[brief] + 2)
-        inside = np.ones(len(b), bool)
-        inside[end - 1] = inside[end - 2] = False
-        at = np.flatnonzero(inside)
-        pieces = _min_hashes(_mix(b[at] << np.uint64(16) | b[at + 1] << np.uint64(8) | b[at + 2]), chars[brief], ROWS_PIECES)
+    words = _min_hashes(hashes[keep], np.bincount(of[keep], minlength=len(size))[wordy], WORD_BANDS, WORD_ROWS)
+    b = np.frombuffer(b"".join(b" %b " % norms[k] for k in brief.tolist()), np.uint8).astype(np.uint64)
+    end = np.cumsum(chars[brief] + 2)
+    inside = np.ones(len(b), bool)
+    inside[end - 1] = inside[end - 2] = False
+    at = np.flatnonzero(inside)
+    pieces = _min_hashes(_mix(b[at] << np.uint64(16) | b[at + 1] << np.uint64(8) | b[at + 2]), chars[brief], PIECE_BANDS, PIECE_ROWS)
     return wordy, words, brief, pieces
 
 
@@ -156,22 +163,24 @@ def _line_words(text: str) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndar
     return line, norms, hashes, first, size, e - s + 1
 
 
-_DEALT, _DEALT_TYPES = ["chars", "words", "pieces"], "chars int, words array<int>, pieces array<int>"
+#: Columns of a line by which it is dealt: its characters, and two bands of words or of pieces to a number.
+_DEALT = ["chars", *(f"w{k}" for k in range(WORD_BANDS // 2)), *(f"p{k}" for k in range(PIECE_BANDS // 2))]
 
 
 def _dealt_by(norms: list[bytes], hashes: np.ndarray, size: np.ndarray, width: np.ndarray, banded: bool) -> list[pa.Array]:
-    """Columns of lines: characters, and the bands of words and of pieces, null where a line has none."""
+    """The columns ``_DEALT`` of lines; bands are null where a line has none."""
+    none, n = np.zeros(0, np.int64), len(norms)
+    both = line_bands(norms, hashes, size, width) if banded else (none, np.zeros((0, WORD_BANDS), np.uint32), none, np.zeros((0, PIECE_BANDS), np.uint32))
+    out = [pa.array(_chars(norms), pa.int32())]
+    for at, bands in (both[:2], both[2:]):
+        full, absent = np.zeros((n, bands.shape[1]), np.uint32), np.ones(n, bool)
+        full[at], absent[at] = bands, False
+        out += [pa.array(c, mask=absent) for c in full.view(np.int64).T]
+    return out
 
-    def column(at, bands):
-        n = np.zeros(len(norms), bool)
-        n[at] = True
-        ends = np.concatenate([[0], np.cumsum(n * BANDS)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands.view(np.int32).ravel()), mask=pa.array(~n))
 
-    none = np.zeros(0, np.int64), np.zeros((0, BANDS), np.uint32)
-    wordy, words, brief, pieces = line_bands(norms, hashes, size, width) if banded else none * 2
-    chars = [len(x) if x.isascii() else len(x.decode()) for x in norms]
-    return [pa.array(chars, pa.int32()), column(wordy, words), column(brief, pieces)]
+def _chars(norms: list[bytes]) -> np.ndarray:
+    return np.fromiter((len(x) if x.isascii() else len(x.decode()) for x in norms), np.int64, len(norms))
 
 
 def _chunks(texts: list[str | None]):
@@ -241,14 +250,130 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     return score
 
 
-def _word_bound(a: str, b: str, most: int, reach: int = 8) -> int:
-    """At least the Levenshtein distance: the cost of one alignment by words, given up beyond ``most``.
+#: Pairs for each block of 64 characters from which on distances are reckoned together, and numbers in a table of them at most.
+TOGETHER, TABLE = 20, 1 << 22
+
+
+def within(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
+    """Which pairs of texts have a Levenshtein distance of ``most`` at most: Myers' bit vectors in blocks of 64 characters, for many pairs at once."""
+    out = np.zeros(len(pairs), bool)
+    cut = [_strip(*sorted(p, key=len)) for p in pairs]
+    sizes = np.array([(len(a), len(b)) for a, b in cut], np.int64).reshape(-1, 2)
+    easy = (sizes[:, 0] == 0) | (sizes[:, 1] <= most)
+    out[easy] = sizes[easy, 1] <= most[easy]
+    # The same characters behind both texts don't change their distance: numbers of blocks come in steps of a quarter, so that groups are larger.
+    grid = [1]
+    while grid[-1] * 64 < sizes[:, 0].max(initial=0):
+        grid.append(grid[-1] + max(1, grid[-1] // 4))
+    blocks = np.array(grid)[np.searchsorted(np.array(grid) * 64, sizes[:, 0])]
+    for n in np.unique(blocks[~easy]).tolist():
+        at = np.flatnonzero((blocks == n) & ~easy)
+        while len(at):
+            step = max(1, TABLE // (64 * n))
+            part, at = at[:step], at[step:]
+            if len(part) < TOGETHER * min(n, 2 * most[part].max() // 64 + 2):
+                out[part] = [edit_distance(*cut[k], int(most[k])) <= most[k] for k in part.tolist()]
+            else:
+                pads = (64 * n - sizes[part, :1]).ravel().tolist()
+                padded = [(cut[k][0] + "\0" * x, cut[k][1] + "\0" * x) for k, x in zip(part.tolist(), pads)]
+                padded.sort(key=lambda p: -len(p[1]))
+                order = np.argsort([-sizes[k, 1] - x for k, x in zip(part.tolist(), pads)], kind="stable")
+                own = part[order]
+                out[own] = _distances(padded, np.array([tuple(map(len, p)) for p in padded], np.int64), n, most[own]) <= most[own]
+    return out
+
+
+def _strip(a: str, b: str) -> tuple[str, str]:
+    """Two texts, the shorter first, without their common beginning and end."""
+    for _ in range(2):
+        low, high = 0, len(a)
+        while low < high:
+            mid = (low + high + 1) // 2
+            if a[low:mid] == b[low:mid]:
+                low = mid
+            else:
+                high = mid - 1
+        a, b = a[low:][::-1], b[low:][::-1]
+    return a, b
+
+
+def _distances(pairs: list[tuple[str, str]], sizes: np.ndarray, blocks: int, most: np.ndarray) -> np.ndarray:
+    """Levenshtein distances of pairs, longest second texts first, whose first texts take ``blocks`` blocks; where it is over ``most``, any number over it."""
+    points = [np.frombuffer("".join(p[k] for p in pairs).encode("utf-32-le"), np.uint32) for k in (0, 1)]
+    alphabet, codes = np.unique(np.concatenate(points), return_inverse=True)
+    a, b = codes[: len(points[0])], codes[len(points[0]) :]
+    k, n, one = len(alphabet), len(pairs), np.uint64(1)
+    row = np.repeat(np.arange(n), sizes[:, 0])
+    place = np.arange(len(a)) - np.repeat(np.cumsum(sizes[:, 0]) - sizes[:, 0], sizes[:, 0])
+    where = np.zeros((blocks, n * k), np.uint64)
+    np.bitwise_or.at(where, (place >> 6, row * k + a), one << (place & 63).astype(np.uint64))
+    text = np.zeros((int(sizes[0, 1]), n), np.int64)
+    row = np.repeat(np.arange(n), sizes[:, 1])
+    text[np.arange(len(b)) - np.repeat(np.cumsum(sizes[:, 1]) - sizes[:, 1], sizes[:, 1]), row] = row * k + b
+    up, down = np.full((blocks, n), ~np.uint64(0)), np.zeros((blocks, n), np.uint64)
+    last, alive, lengths, ends = ((sizes[:, 0] - 1) & 63).astype(np.uint64), np.arange(n), sizes[:, 1].copy(), sizes[:, 0].copy()
+    over, top, out, reach = most + lengths, np.uint64(63), np.zeros(n, np.int64), int(most.max())
+    # Only blocks within ``reach`` of the diagonal count; the score is that of the lowest of them.
+    lowest = min(blocks - 1, reach // 64)
+    score = ends.copy() if lowest == blocks - 1 else np.full(n, 64 * (lowest + 1))
+    for t in range(len(text)):
+        if not t % 16:
+            live = (lengths > t) & ((score + t <= over) | (lowest < blocks - 1))
+            if not live.all():
+                out[alive[~live]] = np.where(lengths[~live] <= t, score[~live] if lowest == blocks - 1 else over[~live], most[alive[~live]] + 1)
+                alive, lengths, over, score, last, ends = alive[live], lengths[live], over[live], score[live], last[live], ends[live]
+                up, down, text = np.ascontiguousarray(up[:, live]), np.ascontiguousarray(down[:, live]), np.ascontiguousarray(text[:, live])
+            if not len(alive):
+                break
+        if lowest < min(blocks - 1, (t + reach) // 64):
+            lowest += 1
+            score = score + (ends - 64 * lowest if lowest == blocks - 1 else 64)
+        m = int(np.searchsorted(-lengths, -t, "left"))
+        at, rise, fall = text[t, :m], one, np.zeros(m, np.uint64)
+        for w in range(max(0, (t - reach) // 64), lowest + 1):
+            pv, mv, eq = up[w, :m], down[w, :m], where[w].take(at)
+            xv = eq | mv
+            eq |= fall
+            xh = eq & pv
+            xh += pv
+            xh ^= pv
+            xh |= eq
+            ph = ~(xh | pv)
+            ph |= mv
+            mh = pv & xh
+            if w == lowest:
+                bit = last[:m] if w == blocks - 1 else top
+                score[:m] += (ph >> bit & one).astype(np.int64) - (mh >> bit & one).astype(np.int64)
+            rises, falls = ph >> top, mh >> top
+            ph <<= one
+            ph |= rise
+            mh <<= one
+            mh |= fall
+            np.bitwise_and(ph, xv, out=down[w, :m])
+            xv |= ph
+            np.invert(xv, out=xv)
+            np.bitwise_or(mh, xv, out=up[w, :m])
+            rise, fall = rises, falls
+    out[alive] = score
+    return out
+
+
+def _word_bound(a: str, b: str, most: int) -> int:
+    return _words_apart(a.split(" "), b.split(" "), most)
+
+
+def _words_apart(x: list[str], y: list[str], most: int, reach: int = 8, stride: int = 16) -> int:
+    """At least the Levenshtein distance of texts of these words: the cost of one alignment by words, given up beyond ``most``.
 
     Where words differ, the nearest place at which the next two agree again is looked for within
     ``reach`` words; what lies between is replaced as a whole.
     """
-    x, y, i, j, cost = a.split(" "), b.split(" "), 0, 0, 0
-    while i < len(x) and j < len(y):
+    i, j, cost, m, n = 0, 0, 0, len(x), len(y)
+    while i < m and j < n:
+        while i + stride <= m and x[i : i + stride] == y[j : j + stride]:
+            i, j = i + stride, j + stride
+        if i == m or j == n:
+            break
         if x[i] == y[j]:
             i, j = i + 1, j + 1
             continue
@@ -262,7 +387,7 @@ def _word_bound(a: str, b: str, most: int, reach: int = 8) -> int:
         if cost > most:
             return cost
         i, j = i + p, j + q
-    return cost + max(sum(map(len, x[i:])) + len(x) - i, sum(map(len, y[j:])) + len(y) - j)
+    return cost + max(sum(map(len, x[i:])) + m - i, sum(map(len, y[j:])) + n - j)
 
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
@@ -280,7 +405,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame, banded: bool) -> DataFrame:
-    """``occurrences`` with ``chars, words, pieces``: characters and 32-bit numbers of the bands, null where a line has none."""
+    """``occurrences`` with the columns ``_DEALT``."""
 
     def run(batches):
         names = ["doc_id", "th", "line_no", "key", "sh", *_DEALT]
@@ -295,7 +420,8 @@ def _occurrences(docs: DataFrame, banded: bool) -> DataFrame:
                         [b.column(0).take(at), b.column(1).take(at), pa.array(numbers[line], pa.int32()), pa.array(keys), pa.array(sh.view(np.int64)), *_dealt_by(norms, hashes, size, width, banded)], names
                     )
 
-    return _rows(docs).mapInArrow(run, f"doc_id long, th long, line_no int, key long, sh long, {_DEALT_TYPES}")
+    types = "chars int, " + ", ".join(f"{c} long" for c in _DEALT[1:])
+    return _rows(docs).mapInArrow(run, f"doc_id long, th long, line_no int, key long, sh long, {types}")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -303,39 +429,115 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def _blocks(rows: DataFrame, radius: int, value, size: int, scratch: Scratch) -> DataFrame:
-    """Pairs of tiles ``(a, b, same, block)`` of rows that agree in a block of their fingerprint, or in a band, whose numbers follow."""
-    n = radius + 1
-    width = -(-64 // n)
-    block = [F.lit(k << 40) + F.shiftrightunsigned(F.col("sh"), width * k).bitwiseAND(F.lit((1 << min(width, 64 - width * k)) - 1)) for k in range(n)]
-    bands = [F.expr(f"coalesce(transform({c}, (x, i) -> shiftleft(cast({n + k * BANDS} + i as bigint), 40) + (cast(x as bigint) & 4294967295L)), cast(array() as array<bigint>))") for k, c in enumerate(("words", "pieces"))]
-    # Fingerprints don't count within a band.
-    dealt = rows.withColumn("bucket", F.explode(F.concat(F.array(*block), *bands))).withColumn("sh", F.when(F.col("bucket") < n << 40, F.col("sh")).otherwise(F.lit(0)))
-    t = tiles(dealt, "bucket", "key", value, size).where("size(items) > 1 or n_sub > 1")
-    t = scratch.cut(t, "blocks")
-    at = F.shiftright("bucket", 40).cast("int").alias("block")
-    one = t.where("n_sub = 1").select(F.col("items").alias("a"), F.col("items").alias("b"), F.lit(True).alias("same"), at)
-    many = t.where("n_sub > 1")
-    other = many.select("bucket", F.col("sub").alias("sub_b"), F.col("items").alias("b"))
-    pairs = many.select("bucket", "sub", F.col("items").alias("a")).join(other, "bucket").where("sub <= sub_b")
-    return one.unionByName(pairs.select("a", "b", (F.col("sub") == F.col("sub_b")).alias("same"), at))
-
-
-def _first_block(x: np.ndarray, block, radius: int) -> np.ndarray:
-    """Which pairs, by the exclusive-or of their fingerprints, agree in no block before this one: each pair is verified once. Pairs of bands all count."""
-    width = -(-64 // (radius + 1))
-    out = np.ones(len(x), bool)
-    for k in range(radius + 1):
-        out &= (k >= block) | ((x >> np.uint64(width * k)) & np.uint64((1 << width) - 1) != 0)
-    return out | (np.asarray(block) > radius)
+# A bucket number, from its top: 0, the block's number in 3 bits, the block, and 60 bits less the block of the
+# fingerprint; or 1, 18 zeros, the band's number in 5 bits, 32 bits of the band and 8 of the class of length.
+_BAND, _BAND_LOW, _NUMBER = np.uint64(1 << 63), np.uint64(8), np.uint64(40)
 
 
-#: Tiles up to this many rows are compared within themselves together with others of their batch.
-SHORT = 128
-
-
-#: Pairs that are held at once.
-PAIRS = 1 << 20
+def _blocks(radius: int) -> list[tuple[int, int]]:
+    """(place, bits) of the blocks of a fingerprint."""
+    if not 0 <= radius <= 7:
+        raise ValueError("radius must be 0 to 7")
+    width = -(-64 // (radius + 1))
+    return [(width * k, min(width, 64 - width * k)) for k in range(radius + 1)]
+
+
+def _buckets(nodes: DataFrame, radius: int) -> DataFrame:
+    """``(bucket, key)``: a row for each block and band of each node."""
+    sh = F.col("sh")
+    out = []
+    for k, (at, bits) in enumerate(_blocks(radius)):
+        end = (at + bits) % 64
+        turned = F.shiftleft(sh, 64 - end).bitwiseOR(F.shiftrightunsigned(sh, end)) if end else sh
+        out.append(F.lit(k << 60).bitwiseOR(F.shiftrightunsigned(turned, 4)))
+    length = F.least(F.floor(F.log(F.col("chars").cast("double")) / F.lit(math.log(CLASS))), F.lit(255)).cast("long")
+    for k, c in enumerate(_DEALT[1:]):
+        low, high = F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.col(c), 32)
+        for half, band in enumerate((low, high)):
+            out.append(F.lit((2 * k + half << 40) - (1 << 63)).bitwiseOR(F.shiftleft(band, 8)).bitwiseOR(length))
+    return nodes.select(F.explode(F.array(*out)).alias("bucket"), "key").where("bucket is not null")
+
+
+class _Buckets:
+    """What bucket numbers say: which are the same bucket, and which rows of one may be similar."""
+
+    def __init__(self, radius: int, similarity: float):
+        self.radius = radius
+        self.low = np.array([60 - bits for _, bits in _blocks(radius)] + [0] * 8, np.uint64)[:8]
+        self.apart = math.floor(-math.log(similarity) / math.log(CLASS)) + 1 if similarity > 0 else 255
+
+    def same(self, bucket: np.ndarray) -> np.ndarray:
+        """The bucket without what rules candidates out."""
+        low = np.where(bucket >= _BAND, _BAND_LOW, self.low[(bucket >> np.uint64(60)).astype(np.int64) & 7])
+        return bucket >> low << low
+
+    def number(self, bucket: np.ndarray) -> np.ndarray:
+        """The block's number, or the band's and 8 more."""
+        band = bucket >= _BAND
+        return np.where(band, 8 + (bucket >> _NUMBER & np.uint64(31)), bucket >> np.uint64(60)).astype(np.int32)
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        length = np.abs((x & np.uint64(255)).astype(np.int16) - (y & np.uint64(255)).astype(np.int16)) <= self.apart
+        return np.where(x >= _BAND, length, np.bitwise_count(x ^ y) <= self.radius)
+
+
+#: Runs up to this many rows are compared together with others of their batch.
+SHORT = 64
+#: Pairs that are held at once, and characters of those that wait for a distance.
+PAIRS, UNSURE = 1 << 17, 1 << 23
+
+
+def _pairs(size: np.ndarray, fit):
+    """``(i, j)`` with ``i < j``: pairs of rows of the same of consecutive runs that ``fit(i, j)`` holds for, in pieces."""
+    end = np.cumsum(size)
+    for at, n in zip((end - size)[size > SHORT].tolist(), size[size > SHORT].tolist()):
+        step = max(1, PAIRS // n)
+        for low in range(0, n - 1, step):
+            i, j = np.triu_indices(min(step, n - low), 1, n - low)
+            i, j = i + at + low, j + at + low
+            use = fit(i, j)
+            yield i[use], j[use]
+    of = np.repeat(np.where(size <= SHORT, size, 0), size)
+    rest = np.repeat(end, size) - np.arange(int(size.sum())) - 1
+    # Pieces of rows, so that pairs of a piece stay few.
+    piece = np.cumsum(of) // PAIRS
+    for k in np.unique(piece).tolist():
+        at, step, li, lj = np.flatnonzero((piece == k) & (of > 1) & (rest > 0)), 1, [], []
+        while len(at):
+            use = at[fit(at, at + step)]
+            li.append(use)
+            lj.append(use + step)
+            step += 1
+            at = at[rest[at] >= step]
+        if li:
+            yield np.concatenate(li), np.concatenate(lj)
+
+
+def _runs(batches, of, most: int):
+    """``(batch, start, size, whole)``: runs of equal numbers ``of(batch)`` in a stream that has equal ones together.
+
+    Runs over ``most`` rows come in pieces; those and the stream's first and last run aren't whole.
+    """
+    held, opened = None, True
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        number = of(held)
+        start = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+        if len(start) > 1:
+            size = np.diff(start)
+            pieces = -(-size // most)
+            at = np.repeat(start[:-1], pieces) + most * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+            whole = np.repeat(pieces == 1, pieces)
+            whole[: pieces[0]] &= not opened
+            yield held.slice(0, start[-1]), at, np.diff(np.append(at, start[-1])), whole
+            held, opened = held.slice(start[-1]), False
+        while held.num_rows > most:
+            yield held.slice(0, most), np.array([0]), np.array([most]), np.array([False])
+            held, opened = held.slice(most), True
+    if held is not None:
+        yield held, np.array([0]), np.array([held.num_rows]), np.array([False])
 
 
 def _most(longer: np.ndarray, similarity: float) -> np.ndarray:
@@ -343,33 +545,6 @@ def _most(longer: np.ndarray, similarity: float) -> np.ndarray:
     return longer - np.ceil(similarity * longer)
 
 
-def _near_pairs(batch: pa.RecordBatch, radius: int, similarity: float):
-    """``(a, i, b, j, block)``: rows ``a[i]`` and ``b[j]`` are near and not too different in length; block is one number or one for each pair."""
-    for a, i, b, j, block in _bucket_pairs(batch, radius):
-        m, n = a.field("chars").to_numpy()[i], b.field("chars").to_numpy()[j]
-        fit = np.abs(m - n) <= _most(np.maximum(m, n), similarity)
-        yield a, i[fit], b, j[fit], block[fit] if isinstance(block, np.ndarray) else block
-
-
-def _bucket_pairs(batch: pa.RecordBatch, radius: int):
-    same = batch.column(2).to_numpy(zero_copy_only=False)
-    short = same & (pc.list_value_length(batch.column(0)).to_numpy() <= SHORT)
-    if short.any():
-        part = batch.filter(pa.array(short))
-        a, size = part.column(0).flatten(), pc.list_value_length(part.column(0)).to_numpy()
-        sh, block, end = a.field("sh").to_numpy().view(np.uint64), np.repeat(part.column(3).to_numpy(), size), np.cumsum(size)
-        group = np.cumsum(size.astype(np.int64) ** 2) // PAIRS
-        for g in np.unique(group).tolist():
-            at = np.flatnonzero(group == g)
-            low = end[at[0]] - size[at[0]]
-            i, j = near_within(sh[low : end[at[-1]]], size[at], radius)
-            yield a, i + low, a, j + low, block[i + low]
-    for k in np.flatnonzero(~short).tolist():
-        a, b = batch.column(0)[k].values, batch.column(1)[k].values
-        i, j = near(a.field("sh").to_numpy().view(np.uint64), b.field("sh").to_numpy().view(np.uint64), radius, bool(same[k]))
-        yield a, i, b, j, batch.column(3)[k].as_py()
-
-
 def _bag(norms: pa.Array) -> np.ndarray:
     """How many characters of each of 32 kinds the texts have."""
     chars = pc.utf8_length(norms).to_numpy()
@@ -380,91 +555,198 @@ def _bag(norms: pa.Array) -> np.ndarray:
 
 def _bags_fit(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     """Which pairs the similarity isn't ruled out for: the distance is at least what one bag has more than the other."""
-    out = np.zeros(len(a), bool)
-    for at in range(0, len(a), 1 << 16):
-        x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-        least = np.maximum(np.maximum(x - y, 0).sum(1), np.maximum(y - x, 0).sum(1))
-        out[at : at + (1 << 16)] = least <= _most(np.maximum(x.sum(1), y.sum(1)), similarity)
-    return out
+    least = np.maximum(np.maximum(a - b, 0).sum(1), np.maximum(b - a, 0).sum(1))
+    return least <= _most(np.maximum(a.sum(1), b.sum(1)), similarity)
 
 
 def _marked(nodes: DataFrame, radius: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """``(key)`` of nodes with a candidate."""
+    """``(tile, number, side, key)``: rows with a candidate, by what they are to be compared in.
 
-    def run(batches):
+    Candidates are within a tile: among rows of side 0, or between those of sides 1 and 2.
+    """
+    rules = _Buckets(radius, similarity)
+    names = ["tile", "number", "sub", "bucket", "key"]
+
+    def compare(batches):
+        from pyspark import TaskContext
+
+        sub = TaskContext.get().partitionId() << 32
+        unsigned = lambda b: b.column(0).to_numpy().view(np.uint64)
+        for b, _, size, whole in _runs(batches, lambda b: rules.same(unsigned(b)), TILE):
+            bucket, found, subs = unsigned(b), np.repeat(~whole, size), np.full(b.num_rows, -1)
+            part, use = np.flatnonzero(np.repeat(whole & (size > 1), size)), whole & (size > 1)
+            some = bucket[part]
+            for i, j in _pairs(size[use], lambda i, j: rules.fit(some[i], some[j])):
+                found[part[i]] = found[part[j]] = True
+            subs[np.repeat(~whole, size)] = np.repeat(sub + np.arange((~whole).sum()), size[~whole])
+            sub += int((~whole).sum())
+            at = np.flatnonzero(found)
+            if len(at):
+                got = rules.same(bucket[at]).view(np.int64), rules.number(bucket[at]), subs[at], bucket[at].view(np.int64), b.column(1).to_numpy()[at]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names)
+
+    rows = _buckets(nodes, radius).repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key")
+    dealt = scratch.cut(rows.mapInArrow(compare, "tile long, number int, sub long, bucket long, key long"), "dealt")
+    one = dealt.where("sub < 0").select("tile", "number", F.lit(0).alias("side"), "key")
+    t = scratch.cut(dealt.where("sub >= 0").groupBy("tile", "number", "sub").agg(F.collect_list("bucket").alias("b"), F.collect_list("key").alias("k")), "tiles")
+    other = t.select("tile", F.col("sub").alias("sub_b"), F.col("b").alias("b_b"), F.col("k").alias("k_b"))
+    both = t.join(other, "tile").where("sub < sub_b or (sub = sub_b and size(b) > 1)")
+
+    def across(batches):
         for batch in batches:
-            out = [np.zeros(0, np.int64)]
-            for a, i, b, j, _ in _near_pairs(batch, radius, similarity):
-                out += [np.unique(a.field("key").to_numpy()[i]), np.unique(b.field("key").to_numpy()[j])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], ["key"])
-
-    return _blocks(nodes, radius, F.struct("sh", "key", "chars"), 1024, scratch).mapInArrow(run, "key long").distinct()
+            for r in range(batch.num_rows):
+                tile, number, same = (batch.column(c)[r].as_py() for c in (0, 1, 2))
+                x, y = (batch.column(c)[r].values.to_numpy().view(np.uint64) for c in (3, 5))
+                hit, step = [np.zeros(len(x), bool), np.zeros(len(y), bool)], max(1, PAIRS // len(y))
+                for at in range(0, len(x), step):
+                    fit = rules.fit(x[at : at + step, None], y[None, :])
+                    if same:
+                        fit[np.arange(len(fit)), np.arange(at, at + len(fit))] = False
+                    hit[0][at : at + step] = fit.any(1)
+                    hit[1] |= fit.any(0)
+                for side, (h, c) in enumerate(zip(hit, (4, 6)), 1):
+                    if h.any() and not (same and side == 2):
+                        key = batch.column(c)[r].values.to_numpy()[h]
+                        full = [np.full(len(key), v, kind) for v, kind in ((tile, np.int64), (number, np.int32), (0 if same else side, np.int32))]
+                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*full, key)], ["tile", "number", "side", "key"])
+
+    pairs = both.select(F.xxhash64("tile", "sub", "sub_b").alias("tile"), "number", (F.col("sub") == F.col("sub_b")).alias("same"), "b", "k", "b_b", "k_b")
+    out = scratch.cut(one.unionByName(pairs.mapInArrow(across, "tile long, number int, side int, key long")), "marked")
+    scratch.drop(dealt, t)
+    return out
 
 
-def _texts(docs: DataFrame, marked: DataFrame, nodes: DataFrame, scratch: Scratch, banded: bool) -> DataFrame:
-    """``(key, sh, norm, chars, words, pieces)`` of the marked nodes, each once, from the lines that stand first for them.
+def _tiled(docs: DataFrame, lines: DataFrame, banded: bool) -> DataFrame:
+    """``(tile, number, side, key, sh, prior, norm)``: the texts of ``lines(doc_id, th, line_no, key, at)`` in each of the tiles ``at``.
 
-    The wanted lines go to the documents: broadcast where their counted number allows it, by a join
-    on the document otherwise.
+    ``prior`` has the bands before the tile's own, each in four bytes. Rows that repeat a document repeat its lines.
     """
-    lines = scratch.cut(nodes.join(marked, "key", "left_semi").select("first.*", "key", "sh"), "wanted")
-    wanted = lines.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("h")).agg(F.collect_list(F.struct("line_no", "key", "sh")).alias("lines"))
-    wanted = F.broadcast(wanted) if lines.count() <= BROADCAST_LINES else wanted
+    wanted = lines.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("h")).agg(F.collect_list(F.struct("line_no", "key", "at")).alias("lines"))
     rows = _rows(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).select("text", "lines")
+    names = ["tile", "number", "side", "key", "sh", "prior", "norm"]
 
     def run(batches):
         for b in batches:
-            norms, at = [], b.column(1)
+            norms, lines = [], b.column(1)
             for k, text in enumerate(b.column(0).to_pylist()):
                 split = text.split("\n")
-                norms += [normalise(split[i]) for i in at[k].values.field("line_no").to_pylist()]
-            fields = at.flatten()
-            yield pa.RecordBatch.from_arrays([fields.field("key"), fields.field("sh"), pa.array(norms, pa.string()), *_deal_again(norms, banded)], ["key", "sh", "norm", *_DEALT])
-
-    # Rows that repeat a document give its lines repeatedly.
-    return rows.mapInArrow(run, f"key long, sh long, norm string, {_DEALT_TYPES}").groupBy("key").agg(*(F.min(c).alias(c) for c in ("sh", "norm", *_DEALT)))
-
-
-def _deal_again(norms: list[str], banded: bool) -> list[pa.Array]:
-    _, same, hashes, _, size, width = _line_words("\n".join(norms))
-    if not same:
-        return [pa.array([], pa.int32()), *[pa.array([], pa.list_(pa.int32()))] * 2]
-    return _dealt_by(same, hashes, size, width, banded)
+                norms += [normalise(split[i]) for i in lines[k].values.field("line_no").to_pylist()]
+            if not norms:
+                continue
+            _, held, hashes, first, words, width = _line_words("\n".join(norms))
+            sh, band = simhash(hashes, first, words).view(np.int64), _bands(held, hashes, words, width) if banded else None
+            fields = lines.flatten()
+            at = fields.field("at")
+            of = np.repeat(np.arange(len(norms)), pc.list_value_length(at).to_numpy())
+            tiles = at.flatten()
+            number = tiles.field("number").to_numpy()
+            prior = [band[r, : n - 8].tobytes() if n >= 8 else b"" for r, n in zip(of.tolist(), number.tolist())]
+            for low in range(0, len(of), 4096):
+                part = pa.array(of[low : low + 4096])
+                columns = [tiles.field(c).slice(low, 4096) for c in ("tile", "number", "side")]
+                texts = pa.array([norms[r] for r in of[low : low + 4096].tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, fields.field("key").take(part), pa.array(sh).take(part), pa.array(prior[low : low + 4096], pa.binary()), texts], names)
+
+    return rows.mapInArrow(run, "tile long, number int, side int, key long, sh long, prior binary, norm string")
+
+
+def _bands(norms: list[bytes], hashes: np.ndarray, size: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """All bands of lines, words first; where a line has none, a number of its own from the line's words."""
+    own = np.add.reduceat(hashes, np.cumsum(size) - size)
+    out = _mix(own[:, None] * _SALTS[: WORD_BANDS + PIECE_BANDS]).astype(np.uint32)
+    wordy, words, brief, pieces = line_bands(norms, hashes, size, width)
+    out[wordy, :WORD_BANDS], out[brief, WORD_BANDS:] = words, pieces
+    return out
 
 
-def _verified(texts: DataFrame, radius: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """``(src, dst)``: links that connect the same groups as all verified pairs do."""
+def _verified(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """``(src, dst)``: links that connect the same groups as all verified pairs of tiled rows do; nodes are (key, sh)."""
+    blocks, node = _blocks(radius), pa.struct([("key", pa.int64()), ("sh", pa.int64())])
 
     def run(batches):
-        for batch in batches:
-            src, dst, up = [], [], {}
-
-            def root(x):
-                while (y := up.setdefault(x, x)) != x:
-                    up[x] = x = up[y]
-                return x
-
-            last = bags = None
-            for a, i, b, j, block in _near_pairs(batch, radius, similarity):
-                if not len(i):
-                    continue
-                once = _first_block((a.field("sh").to_numpy()[i] ^ b.field("sh").to_numpy()[j]).view(np.uint64), block, radius)
-                i, j = i[once], j[once]
-                if last is not a:
-                    last, bags = a, _bag(a.field("norm"))
-                fit = _bags_fit(bags[i], (bags if b is a else _bag(b.field("norm")))[j], similarity)
-                i, j = i[fit], j[fit]
-                ta, tb = a.field("norm"), b.field("norm")
-                for x, y, at, to in zip(a.field("key").to_numpy()[i].tolist(), b.field("key").to_numpy()[j].tolist(), i.tolist(), j.tolist()):
-                    p, q = root(x), root(y)
-                    if p != q and similar(ta[at].as_py(), tb[to].as_py(), similarity):
-                        up[max(p, q)] = min(p, q)
-                        src.append(x)
-                        dst.append(y)
-            if src:
-                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
-
-    return _blocks(texts, radius, F.struct("sh", "key", "chars", "norm"), 256, scratch).mapInArrow(run, "src long, dst long")
+        up: dict[int, int] = {}
+        unsure, waits = [], 0
+
+        def root(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        def decided(pairs):
+            """The links among pairs (node, node, text, text) that are near enough, but for those whose ends are connected by then."""
+            pairs = [p for p in pairs if root(p[0]) != root(p[1])]
+            most = _most(np.array([max(len(a), len(b)) for _, _, a, b in pairs], np.int64), similarity).astype(np.int64)
+            out = []
+            for (x, y, _, _), ok in zip(pairs, within([p[2:] for p in pairs], most)):
+                p, q = root(x), root(y)
+                if ok and p != q:
+                    up[max(p, q)] = min(p, q)
+                    out.append((x, y))
+            return out
+
+        def links(pairs):
+            ends = [[x[e] for x in pairs] for e in (0, 1)]
+            halves = [(np.array([x >> 64 for x in e], np.int64), np.array([x & (1 << 64) - 1 for x in e], np.uint64).view(np.int64)) for e in ends]
+            return pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([pa.array(v) for v in h], fields=[*node]) for h in halves], ["src", "dst"])
+
+        for b, _, size, _ in _runs(batches, lambda b: b.column(0).to_numpy(), 1 << 40):
+            if not (size > 1).any():
+                continue
+            number, side, key, norm = b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(6)
+            sh, chars, bags = b.column(4).to_numpy().view(np.uint64), pc.utf8_length(norm).to_numpy(), _bag(norm)
+            # Bands that a tile doesn't ask for are unlike any other row's.
+            band = np.full((b.num_rows, WORD_BANDS + PIECE_BANDS), np.arange(b.num_rows)[:, None] + (1 << 32), np.uint64)
+            band[np.arange(band.shape[1]) < number[:, None] - 8] = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint32)
+
+            def fit(i, j):
+                """The pairs whose first shared bucket this is and that may be similar."""
+                out = (side[i] == 0) | (side[i] != side[j])
+                out &= np.abs(chars[i] - chars[j]) <= _most(np.maximum(chars[i], chars[j]), similarity)
+                at = np.flatnonzero(out)
+                i, j = i[at], j[at]
+                x, n = sh[i] ^ sh[j], number[i]
+                apart = np.bitwise_count(x)
+                mine = np.where(n < 8, apart <= radius, (apart > radius) & ((apart <= LOOSE) | (n >= 8 + WORD_BANDS)))
+                for k, (place, bits) in enumerate(blocks):
+                    agree = x >> np.uint64(place) & np.uint64((1 << bits) - 1) == 0
+                    mine &= (n >= 8) | np.where(n == k, agree, (n < k) | ~agree)
+                for c in range(band.shape[1]):
+                    mine &= band[i, c] != band[j, c]
+                mine[mine] = _bags_fit(bags[i[mine]], bags[j[mine]], similarity)
+                out[at] = mine
+                return out
+
+            ids, texts, found = [k << 64 | s for k, s in zip(key.tolist(), sh.tolist())], norm.to_pylist(), []
+            split: dict[int, list[str]] = {}
+            group = np.unique(np.array([hash(root(x)) for x in ids]), return_inverse=True)[1]
+            for i, j in _pairs(size, fit):
+                order = np.lexsort((j, i))
+                i, j = i[order], j[order]
+                begin = np.flatnonzero(np.diff(i, prepend=-1))
+                for x, js in zip(i[begin].tolist(), np.split(j, begin[1:])):
+                    for y in js[group[js] != group[x]].tolist():
+                        p, q = root(ids[x]), root(ids[y])
+                        if p == q:
+                            continue
+                        longer = max(len(texts[x]), len(texts[y]))
+                        most = longer - math.ceil(similarity * longer)
+                        a, b_ = (split.get(k) or split.setdefault(k, texts[k].split(" ")) for k in (x, y))
+                        if _words_apart(a, b_, most) <= most:
+                            up[max(p, q)] = min(p, q)
+                            group[group == group[y]] = group[x]
+                            found.append((ids[x], ids[y]))
+                        else:
+                            unsure.append((ids[x], ids[y], texts[x], texts[y]))
+                            waits += longer
+                            if waits >= UNSURE:
+                                found += decided(unsure)
+                                unsure, waits = [], 0
+            if found:
+                yield links(found)
+        if found := decided(unsure):
+            yield links(found)
+
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "src struct<key:long,sh:long>, dst struct<key:long,sh:long>")
 
 
 def duplicate_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, scratch: Scratch | None = None, banded: bool = False) -> DataFrame:
@@ -472,15 +754,24 @@ def duplicate_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = S
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     bound_batches(docs.sparkSession)
     every = scratch.cut(_occurrences(docs, banded), "lines")
+    nodes = scratch.cut(every.groupBy("key", "sh").agg(*(F.min(c).alias(c) for c in _DEALT), F.count(F.lit(1)).alias("n")), "nodes")
+    marked = _marked(nodes.select("key", "sh", *_DEALT), radius, similarity, scratch)
+    wanted = scratch.cut(marked.groupBy("key").agg(F.collect_list(F.struct("tile", "number", "side")).alias("at")), "wanted")
+    scratch.drop(marked)
+    # Lines without a repeat or a candidate stay, whatever the rest does.
+    some = nodes.where("n > 1").select("key").unionByName(wanted.select("key")).distinct()
+    of = scratch.cut(every.select("doc_id", "th", "line_no", "key", "sh").join(some, "key"), "repeats")
+    scratch.drop(nodes, every)
     # Null ids sort first in a structure, as they do in an order.
-    nodes = scratch.cut(every.groupBy("key").agg(*(F.min(c).alias(c) for c in ("sh", *_DEALT)), F.min(F.struct("doc_id", "th", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
-    marked = scratch.cut(_marked(nodes.select("key", "sh", *_DEALT), radius, similarity, scratch), "marked")
-    links = _verified(scratch.cut(_texts(docs, marked, nodes, scratch, banded), "texts"), radius, similarity, scratch)
-    groups = connected_components(links, scratch).withColumnRenamed("node", "key")
-    grouped = nodes.join(groups, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    first = scratch.cut(of.groupBy("key", "sh").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "first")
+    tiled = _tiled(docs, first.join(wanted, "key").select("first.*", "key", "at"), banded)
+    node = F.struct("key", "sh").alias("node")
+    groups = connected_components(_verified(tiled, radius, similarity), scratch)
+    scratch.drop(wanted)
+    grouped = first.select(node, "first", "n").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = grouped.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).where("total > 1")
-    keep = grouped.select("key", "component").join(best, "component").select("key", "keep")
-    rows = every.join(keep, "key").where(~F.struct("doc_id", "th", "line_no").eqNullSafe(F.col("keep")))
+    keep = grouped.select("node", "component").join(best, "component").select("node.key", "node.sh", "keep")
+    rows = of.join(keep, ["key", "sh"]).where(~F.struct("doc_id", "th", "line_no").eqNullSafe(F.col("keep")))
     return rows.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("drop"))
 
 

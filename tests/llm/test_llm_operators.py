@@ -140,9 +140,9 @@ def test_lines_of_chunks(spark, monkeypatch):
     assert len(want) == sum(range(40))
 
 
-@pytest.mark.parametrize("most", [line_dedup.BROADCAST_LINES, -1])
-def test_lines(spark, texts, monkeypatch, most):
-    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
+@pytest.mark.parametrize("tile", [line_dedup.TILE, 3])
+def test_lines(spark, texts, monkeypatch, tile):
+    monkeypatch.setattr(line_dedup, "TILE", tile)
     rows = texts[:-1]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
     nodes = {}
