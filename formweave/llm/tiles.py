@@ -38,28 +38,18 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return node, label[node]
 
 
-def near(a: np.ndarray, b: np.ndarray, radius: int, same: bool, cells: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs whose fingerprints differ in at most ``radius`` bits, by exclusive-or and bit count."""
-    step, li, lj = max(1, cells // max(1, len(b))), [], []
+def near_in_pieces(a: np.ndarray, b: np.ndarray, radius: int, same: bool, cells: int = 1 << 18):
+    """Index pairs whose fingerprints differ in at most ``radius`` bits, by exclusive-or and bit count, from ``cells`` comparisons at a time."""
+    step = max(1, cells // max(1, len(b)))
     for at in range(0, len(a), step):
         i, j = np.nonzero(np.bitwise_count(a[at : at + step, None] ^ b[None, :]) <= radius)
         i += at
         if same:
             i, j = i[i < j], j[i < j]
-        li.append(i)
-        lj.append(j)
-    return (np.concatenate(li), np.concatenate(lj)) if li else (np.zeros(0, int), np.zeros(0, int))
+        yield i, j
 
 
-def near_within(v: np.ndarray, size: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs ``i < j`` as of ``near``, within each of the consecutive runs of ``size`` fingerprints; meant for many short runs."""
-    rest = np.repeat(np.cumsum(size), size) - np.arange(len(v)) - 1
-    at, li, lj = np.flatnonzero(rest > 0), [np.zeros(0, int)], [np.zeros(0, int)]
-    step = 1
-    while len(at):
-        hit = at[np.bitwise_count(v[at] ^ v[at + step]) <= radius]
-        li.append(hit)
-        lj.append(hit + step)
-        step += 1
-        at = at[rest[at] >= step]
-    return np.concatenate(li), np.concatenate(lj)
+def near(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ``near_in_pieces``."""
+    pieces = [*near_in_pieces(a, b, radius, same)]
+    return (np.concatenate([i for i, _ in pieces]), np.concatenate([j for _, j in pieces])) if pieces else (np.zeros(0, int), np.zeros(0, int))

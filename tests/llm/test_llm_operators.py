@@ -1,5 +1,7 @@
 """Operators against brute force on small fixtures: nulls, blanks, ties, repeats, empty tables, clashing names."""
 
+import math
+import os
 import random
 import re
 
@@ -48,6 +50,70 @@ def test_simhash(spark, texts):
     assert simhash_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_simhash_without_ids(spark, monkeypatch):
+    prints = {1: 0, 2: 63, None: 7, 5: 2**40 - 1}
+    monkeypatch.setattr(simhash_dedup, "fingerprints", lambda docs, words: docs.select("doc_id", "fp"))
+    rows = [(i, "", "en", "s", 0, fp, 2) for i, fp in prints.items()] + [(None, "", "en", "s", 0, 2**60 - 1, 2), (None, "", "en", "s", 0, 7, 2), (1, "", "en", "s", 0, 0, 2)]
+    got = simhash_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 0, 1), (2, 63, 1), (None, 7, 1), (5, 2**40 - 1, 5), (None, 2**60 - 1, None)], key=str)
+
+
+def test_components(spark):
+    from formweave.llm.common import Scratch
+    from formweave.llm.graph import connected_components
+
+    rng = random.Random(9)
+    star = [(0, k) for k in range(1, 700)] + [(700, k) for k in range(650, 1000)] + [(2000 + k, 2001 + k) for k in range(40)]
+    star += [(rng.randrange(3000, 3400), rng.randrange(3000, 3400)) for _ in range(150)] + [(5, 5), (None, 1)]
+    group = {}
+
+    def root(x):
+        while group.setdefault(x, x) != x:
+            x = group[x]
+        return x
+
+    for a, b in star:
+        if a is not None:
+            x, y = sorted((root(a), root(b)))
+            group[y] = x
+    edges = spark.createDataFrame(star + star[:50], "src long, dst long")
+    got = {r.node: r.component for r in connected_components(edges, Scratch(spark, "test")).collect()}
+    want = {x: root(x) for x in group if any(root(y) == root(x) for y in group if y != x)}
+    assert {**{x: x for x in want}, **got} == want
+    both = edges.selectExpr("struct(src as x, 1 as k) as src", "struct(dst as x, 1 as k) as dst").where("src.x is not null")
+    assert {r.node.x: r.component.x for r in connected_components(both, Scratch(spark, "test")).collect()} == got
+
+
+def test_similar_documents(spark):
+    rng = random.Random(12)
+    voc = [f"w{k}" for k in range(3000)]
+    base = [[rng.choice(voc) for _ in range(n)] for n in (12, 30, 60, 120, 200, 400) for _ in range(6)]
+    near = [[rng.choice(voc) if rng.random() < 0.012 else x for x in t] for t in base for _ in range(2)]
+    half = [t[: len(t) // 2] + [rng.choice(voc) for _ in range(len(t) // 2)] for t in base]
+    odd = [["A", "b"], ["a", "B"], ["a"], [], [], None, voc]
+    rows = [(k, None if t is None else " ".join(t)) for k, t in enumerate(base + near + half + odd)] + [(None, " ".join(near[0])), (None, "alone x"), (3, " ".join(base[3]))]
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    alike = [[a == b if not (a and b) else len(a & b) / len(a | b) for b in sets] for a in sets]
+    found = {}
+    for r in simhash_dedup.similar_documents(frame(spark, rows)).collect():
+        found.setdefault(r.doc_id, set()).add(r.component_id)
+    group = [next(iter(found[i])) if i is not None else None for i, _ in rows]
+    for a in range(len(base + near + half + odd)):
+        for b in range(a):
+            if alike[a][b] >= 0.85 or not (sets[a] or sets[b]):
+                assert group[a] == group[b]
+            elif max(x for k, x in enumerate(alike[a]) if rows[k][0] != a) < 0.65:
+                assert group[a] != group[b]
+    assert found[None] == {group[len(base)], None}
+    left = simhash_dedup.drop_similar(frame(spark, rows))
+    assert left.columns == frame(spark, []).columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(((i, t) for (i, t), g in zip(rows, group) if i == g or t == "alone x"), key=str)
+    assert simhash_dedup.similar_documents(frame(spark, [])).count() == 0 and simhash_dedup.drop_similar(frame(spark, [])).count() == 0
+
+
 def test_byte_bpe(spark, texts):
     import tiktoken
 
@@ -176,6 +242,50 @@ def test_lines_with_changed_words(spark):
     assert {r.doc_id for r in got if r.text} == set(range(30))
 
 
+def test_distances_together():
+    rng = random.Random(1)
+    pairs = []
+    for _ in range(300):
+        a = "".join(rng.choice("abcé日") for _ in range(rng.choice((0, 3, 63, 64, 65, 128, 130, 200))))
+        b = list(a)
+        for _ in range(rng.randrange(len(a) // 2 + 3)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(("", "a", "x"))
+        pairs.append((a, "".join(b)))
+    want = np.array([line_dedup.edit_distance(*p) for p in pairs])
+    for more in (-1, 0, 5):
+        most = np.maximum(want + more, 0)
+        assert (line_dedup.within(pairs, most) == (want <= most)).all()
+
+
+def test_lines_recall(spark):
+    """Pairs of similarity 0.8 or more, found without fingerprints, among the lines of 600 documents."""
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no given tables")
+    docs = spark.read.parquet(path).where("doc_id < 600")
+    lines = sorted({n for r in docs.collect() for x in (r.text or "").split("\n") if (n := line_dedup.normalise(x))}, key=len)
+    size = np.array([len(x) for x in lines])
+    bags = np.stack([np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) & 31, minlength=32) for x in lines]).astype(np.int16)
+    want = []
+    for a in range(len(lines)):
+        high = np.searchsorted(size, size[a] / 0.8 + 1)
+        apart = bags[a + 1 : high] - bags[a]
+        least = np.maximum(np.maximum(apart, 0).sum(1), np.maximum(-apart, 0).sum(1))
+        want += [(a, a + 1 + k) for k in np.flatnonzero(least <= 0.2 * size[a + 1 : high]).tolist()]
+    most = np.array([len(lines[b]) - math.ceil(0.8 * len(lines[b])) for _, b in want], np.int64)
+    want = [p for p, ok in zip(want, line_dedup.within([(lines[a], lines[b]) for a, b in want], most)) if ok]
+    single = frame(spark, list(enumerate(lines)))
+    left = {r.doc_id for r in line_dedup.dedup_lines(single, banded=True).collect() if r.text}
+    group = list(range(len(lines)))
+    for _ in range(20):
+        for a, b in want:
+            group[a] = group[b] = min(group[a], group[b])
+    gone = {k for k, g in enumerate(group) if g != k}
+    assert len(gone) > 10 and not (set(range(len(lines))) - gone) - left
+    assert len(gone - left) >= 0.9 * len(gone)
+
+
 def test_edit_distance():
     rng = random.Random(1)
     for _ in range(500):
