@@ -625,27 +625,30 @@ def _tiled(docs: DataFrame, lines: DataFrame, banded: bool) -> DataFrame:
     rows = _rows(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).select("text", "lines")
     names = ["tile", "number", "side", "key", "sh", "prior", "norm"]
 
+    def tiled(norms, fields):
+        _, held, hashes, first, words, width = _line_words("\n".join(norms))
+        sh, band = simhash(hashes, first, words).view(np.int64), _bands(held, hashes, words, width) if banded else None
+        at = fields.field("at")
+        of = np.repeat(np.arange(len(norms)), pc.list_value_length(at).to_numpy())
+        tiles = at.flatten()
+        number = tiles.field("number").to_numpy()
+        prior = [band[r, : n - 8].tobytes() if n >= 8 else b"" for r, n in zip(of.tolist(), number.tolist())]
+        for low in range(0, len(of), 4096):
+            part = pa.array(of[low : low + 4096])
+            columns = [tiles.field(c).slice(low, 4096) for c in ("tile", "number", "side")]
+            texts = pa.array([norms[r] for r in of[low : low + 4096].tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, fields.field("key").take(part), pa.array(sh).take(part), pa.array(prior[low : low + 4096], pa.binary()), texts], names)
+
     def run(batches):
         for b in batches:
-            norms, lines = [], b.column(1)
+            norms, chars, begin, lines = [], 0, 0, b.column(1)
             for k, text in enumerate(b.column(0).to_pylist()):
                 split = text.split("\n")
                 norms += [normalise(split[i]) for i in lines[k].values.field("line_no").to_pylist()]
-            if not norms:
-                continue
-            _, held, hashes, first, words, width = _line_words("\n".join(norms))
-            sh, band = simhash(hashes, first, words).view(np.int64), _bands(held, hashes, words, width) if banded else None
-            fields = lines.flatten()
-            at = fields.field("at")
-            of = np.repeat(np.arange(len(norms)), pc.list_value_length(at).to_numpy())
-            tiles = at.flatten()
-            number = tiles.field("number").to_numpy()
-            prior = [band[r, : n - 8].tobytes() if n >= 8 else b"" for r, n in zip(of.tolist(), number.tolist())]
-            for low in range(0, len(of), 4096):
-                part = pa.array(of[low : low + 4096])
-                columns = [tiles.field(c).slice(low, 4096) for c in ("tile", "number", "side")]
-                texts = pa.array([norms[r] for r in of[low : low + 4096].tolist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, fields.field("key").take(part), pa.array(sh).take(part), pa.array(prior[low : low + 4096], pa.binary()), texts], names)
+                chars += len(text)
+                if chars >= CHUNK or k == b.num_rows - 1:
+                    yield from tiled(norms, lines.slice(begin, k + 1 - begin).flatten())
+                    norms, chars, begin = [], 0, k + 1
 
     return rows.mapInArrow(run, "tile long, number int, side int, key long, sh long, prior binary, norm string")
 

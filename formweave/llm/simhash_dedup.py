@@ -189,7 +189,7 @@ def _long_rows(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, node long, n long, bits binary")
 
 
-def similar_links(nodes: DataFrame, similarity: float, scratch: Scratch, tile: int = 2048) -> DataFrame:
+def similar_links(nodes: DataFrame, similarity: float, scratch: Scratch, tile: int = 1024) -> DataFrame:
     """``nodes(node, n, bits)`` distinct -> ``(src, dst)``: links that connect the same groups as all pairs do whose long fingerprints and numbers of shingles allow the similarity.
 
     Tiles are of a class of sizes, each as wide as the similarity allows, and of a class of
