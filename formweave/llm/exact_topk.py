@@ -21,30 +21,32 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, bound_batches
 
-#: Rows that pivots are fitted on, and pivots a vector length gets at most.
-SAMPLE_ROWS, PIVOTS = 4096, 48
+#: Rows that pivots are fitted on; pivots of a vector length are half the square root of all rows, within these bounds.
+SAMPLE_ROWS, LEAST_PIVOTS, MOST_PIVOTS = 4096, 16, 256
 #: Blocks in all, but for one more a pivot and partition: what the driver holds of the index is bounded.
 MOST_BLOCKS = 100_000
 BLOCK_ROWS, QUERY_ROWS = 2048, 256
-#: Squared length below which inner products fit in a double exactly, and above which a vector takes no part.
-EXACT, LARGEST = 2.0**52, 2.0**61
+#: Blocks whose bounds are reckoned at once.
+PAGE = 4096
+#: Products of lengths below which inner products fit in a double, and in 64 bits, and the size that a component takes no part above.
+EXACT, WHOLE, LARGEST = 2.0**52, 2.0**62, 2.0**62
 
 
 def quantise(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
     """``(vec_id, v)``: floor(scale * component) as whole numbers.
 
-    Vectors that are null, empty, hold a null or non-finite component, or are longer than 2**30.5
-    after scaling (their inner products don't fit in 64 bits) take no part, nor do null ids.
+    Vectors that are null, empty, hold a null or non-finite component, or one that doesn't fit in
+    63 bits after scaling take no part, nor do null ids.
     """
     x = F.transform(F.col(vector_col), lambda c: F.floor(c.cast("double") * F.lit(float(scale))).cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("_v"), x.alias("x"))
     good = F.size("_v") > 0
     finite = F.forall("_v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    short = F.aggregate("x", F.lit(0.0), lambda a, c: a + c * c) < F.lit(LARGEST)
+    short = F.forall("x", lambda c: F.abs(c) < F.lit(LARGEST))
     return rows.where(F.col("vec_id").isNotNull() & F.col("_v").isNotNull() & good & finite & short).select("vec_id", F.transform("x", lambda c: c.cast("long")).alias("v"))
 
 
-def fit_pivots(vectors: DataFrame, n: int = PIVOTS, rows: int = SAMPLE_ROWS) -> dict[int, np.ndarray]:
+def fit_pivots(vectors: DataFrame, n: int, rows: int = SAMPLE_ROWS) -> dict[int, np.ndarray]:
     """Pivots for each vector length, by a few rounds of k-means on a bounded sample in hash order."""
     out, got = {}, vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).select("v").collect()
     by: dict[int, list] = {}
@@ -160,14 +162,22 @@ def _pairs(queries: DataFrame, meta: dict, pivots: dict, floors: DataFrame | Non
                     continue
                 m = metas[dim]
                 q = _widen(b.column(3)[k].as_py(), n, dim).astype(float)
-                bound = _bounds(q, m, pivs.get(dim, np.zeros((1, dim))))
-                if not seeded:
-                    use = np.unique(np.argsort(-bound, axis=1, kind="stable")[:, :first])
-                else:
+                if seeded:
                     low = dict(zip(b.column(4)[k].as_py() or [], b.column(5)[k].as_py() or []))
                     ids = np.frombuffer(b.column(6)[k].as_py(), np.int64)
                     low = np.array([low.get(int(i), -np.inf) for i in ids], float)
-                    use = np.nonzero((bound >= low[:, None] - 1 - 1e-9 * np.abs(low[:, None])).any(axis=0))[0]
+                    low = (low - 1 - 1e-9 * np.abs(low))[:, None]
+                used, best = [], (np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64))
+                for at in range(0, len(m["block"]), PAGE):
+                    bound = _bounds(q, {name: v[at : at + PAGE] for name, v in m.items()}, pivs.get(dim, np.zeros((1, dim))))
+                    if seeded:
+                        used.append(at + np.nonzero((bound >= low).any(axis=0))[0])
+                        continue
+                    bound = np.concatenate([best[0], bound], 1)
+                    number = np.concatenate([best[1], np.broadcast_to(np.arange(at, at + bound.shape[1] - best[1].shape[1]), (len(q), bound.shape[1] - best[1].shape[1]))], 1)
+                    order = np.argsort(-bound, axis=1, kind="stable")[:, :first]
+                    best = np.take_along_axis(bound, order, 1), np.take_along_axis(number, order, 1)
+                use = np.concatenate(used) if seeded else np.unique(best[1])
                 yield pa.RecordBatch.from_arrays([pa.array(m["block"][use]), pa.array(np.full(len(use), b.column(0)[k].as_py()))], ["block", "qblock"])
 
     cols = ["block", "dim", "n", "data"]
@@ -178,10 +188,13 @@ def _pairs(queries: DataFrame, meta: dict, pivots: dict, floors: DataFrame | Non
 
 
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: through doubles where they fit, else in 64-bit integers."""
-    if np.sqrt(float((q.astype(float) ** 2).sum(1).max()) * float((x.astype(float) ** 2).sum(1).max())) < EXACT:
+    """Exact integer inner products: through doubles or 64-bit integers where they fit, else in integers of any size, held to 64 bits in the end."""
+    most = np.sqrt(float((q.astype(float) ** 2).sum(1).max()) * float((x.astype(float) ** 2).sum(1).max()))
+    if most < EXACT:
         return np.rint(q.astype(float) @ x.astype(float).T).astype(np.int64)
-    return q @ x.T
+    if most < WHOLE:
+        return q @ x.T
+    return np.clip(q.astype(object) @ x.T.astype(object), -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def _search(pairs: DataFrame, blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -224,15 +237,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
 
     Fewer candidates than ``k`` give them all. Vectors are compared with vectors of their length
     only. Rows that repeat id and vector count once; rows with a query's own id are no candidates
-    of it. No rows give no rows.
+    of it. An id with several vectors is a candidate with each, and as a query it has the k best
+    over all of them. A score beyond 64 bits stands as the nearest number that fits. No rows give no
+    rows.
     """
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "topk")
     bound_batches(spark)
     whole = scratch.cut(quantise(vectors, id_col, vector_col), "vectors")
-    pivots = fit_pivots(whole)
+    rows = whole.count()
+    pivots = fit_pivots(whole, int(min(MOST_PIVOTS, max(LEAST_PIVOTS, rows**0.5 / 2))))
     keyed = assign(whole, pivots)
-    size = max(BLOCK_ROWS, -(-whole.count() // MOST_BLOCKS))
+    size = max(BLOCK_ROWS, -(-rows // MOST_BLOCKS))
     blocks = scratch.cut(pack(keyed, size, _SCHEMA), "blocks")
     queries = scratch.cut(pack(keyed.where(is_query), QUERY_ROWS, _SCHEMA), "queries")
     meta: dict[int, dict] = {}

@@ -128,6 +128,11 @@ def test_byte_bpe(spark, texts):
         assert bytes(r.decoded).decode() == want[r.doc_id]
     with pytest.raises(ValueError):
         byte_bpe.serialise_model({b"a": 0})
+    capitals = r" ?\p{Lu}?\p{Ll}+|\s+|[^\s]"
+    other = tiktoken.Encoding("other", pat_str=capitals, mergeable_ranks=byte_bpe.read_ranks(MULTI), special_tokens={})
+    text = "a FooBar of camelCase  x"
+    assert np.frombuffer(byte_bpe.ByteBPE.at(MULTI, capitals).encode(text), "<u4").tolist() == other.encode_ordinary(text)
+    assert byte_bpe.encode(frame(spark, []), MULTI, public_tokenizers.PATTERN).count() == 0
 
 
 def test_token_files(spark, texts, tmp_path):
@@ -171,6 +176,41 @@ def test_topk(spark):
     assert exact_topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_long_vectors_and_repeated_ids(spark):
+    rows = [(0, [2.0**40, 3.0]), (1, [-(2.0**45), 1.0]), (2, [2.0**50, 5.0]), (3, [1.0, 2.0]), (3, [4.0, 1.0]), (50, [1.0, 1.0]), (50, [0.0, -3.0]), (4, [2.0**60, 1.0])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in exact_topk.top_k(df, F.col("vec_id") % 50 == 0, k=3).collect()}
+    whole = [(i, [math.floor(256 * c) for c in v]) for i, v in rows if max(map(abs, v)) < 2**54]
+    for i in (0, 50):
+        every = {(max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, x)))), k) for j, q in whole if j == i for k, x in whole if k != i}
+        assert {s for _, s in (got[i, k] for k in (1, 2, 3))} <= {s for s, _ in every} and got[i, 1] == sorted(every, key=lambda p: (-p[0], p[1]))[0][::-1]
+
+
+def test_topk_excludes_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=(40, 8)) * 40
+    x = np.concatenate([c + rng.normal(size=(60, 8)) for c in centre])
+    monkeypatch.setattr(exact_topk, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(exact_topk, "QUERY_ROWS", 1)
+    monkeypatch.setattr(exact_topk, "PAGE", 7)
+    search, compared = exact_topk._search, []
+
+    def count(pairs, blocks, queries, k):
+        compared.append(pairs.count() / (blocks.count() * queries.count()))
+        return search(pairs, blocks, queries, k)
+
+    monkeypatch.setattr(exact_topk, "_search", count)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, exact_topk.top_k(df, F.col("vec_id") % 50 == 0).collect()))
+    q = np.floor(x * 256).astype(np.int64)
+    want = []
+    for i in range(0, len(x), 50):
+        s = q @ q[i]
+        want += [(i, k + 1, int(j), int(s[j])) for k, j in enumerate([j for j in np.lexsort((np.arange(len(x)), -s)) if j != i][:5])]
+    assert got == sorted(want)
+    assert compared[-1] < 0.4
+
+
 def line_fingerprint(norm):
     """One word after another: a polynomial of its bytes, mixed, modulo 2**64."""
     hashes = []
@@ -332,6 +372,17 @@ def test_decontamination_in_parts(spark):
     assert all(ids == [i, 100 + i] for p in parts for t in items for i, ids, *_ in p.matches(t))
 
 
+def test_labelled_sample(spark):
+    from formweave.llm.common import Scratch, labelled_sample
+
+    rows = [(1, "x" * 1000)] * 500 + [(1, "b"), (2, "y" * 700), (3, None), (None, "z")]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 0), (9, 1), (None, 1), (4, None)], "doc_id long, label int")
+    take = lambda rows_, chars: labelled_sample(frame(spark, rows), labels, rows_, chars, Scratch(spark, "test"))
+    assert take(100, 10_000) == [(1, "b", 0), (2, "y" * 700, 1), (3, "", 0)]
+    assert take(100, 100) == [(1, "b", 0), (3, "", 0)]
+    assert labelled_sample(frame(spark, []), labels, 10, 10, Scratch(spark, "test")) == []
+
+
 def test_classifiers(spark):
     rng = random.Random(4)
     en, de = ["the", "and", "house", "with"], ["der", "und", "haus", "mit"]
