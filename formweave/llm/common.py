@@ -86,9 +86,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars
     """A bounded training sample: [(doc_id, whole text, label)] on the driver.
 
     ``labels`` has ``doc_id, label``; null ids and labels are dropped and an id counts once
-    (its smallest label). Ids are taken in the order of a hash, at most ``max_rows``, and
-    documents are kept in that order while their texts add up to ``max_chars`` at most; a
-    text is whole or absent.
+    (its smallest label and its smallest text, whatever number of rows it has). Ids are taken
+    in the order of a hash, at most ``max_rows``, and documents are kept in that order while
+    their texts add up to ``max_chars`` at most; a text is whole or absent.
     """
     ids = (
         labels.select(F.col("doc_id").alias("_id"), F.col("label").alias("_label"))
@@ -96,11 +96,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars
         .orderBy(F.xxhash64("_id"), "_id", "_label")
         .limit(max_rows)
     )
-    ids = docs.sparkSession.createDataFrame(ids.collect(), ids.schema).dropDuplicates(["_id"])
-    rows = scratch.cut(
-        docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(ids), "_id"), "sample"
-    )
-    sizes = rows.select("_id", F.length("_text").alias("n")).groupBy("_id").agg(F.max("n").alias("n"), F.xxhash64("_id").alias("h")).collect()
+    least: dict = {}
+    for i, label in ids.collect():
+        least[i] = min(label, least.get(i, label))
+    ids = docs.sparkSession.createDataFrame([*least.items()], ids.schema)
+    rows = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(ids), "_id")
+    rows = scratch.cut(rows.groupBy("_id", "_label").agg(F.min("_text").alias("_text")), "sample")
+    sizes = rows.select("_id", F.length("_text").alias("n"), F.xxhash64("_id").alias("h")).collect()
     take, total = [], 0
     for r in sorted(sizes, key=lambda r: (r.h, r._id)):
         if total + r.n <= max_chars:
@@ -111,7 +113,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars
     chosen = docs.sparkSession.createDataFrame(take, "_id long")
     got = rows.join(F.broadcast(chosen), "_id").collect()
     scratch.drop(rows)
-    return sorted({r._id: (r._id, r._text, r._label) for r in sorted(got, key=lambda r: (r._id, r._text))}.values())
+    return sorted((r._id, r._text, r._label) for r in got)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

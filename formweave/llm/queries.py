@@ -43,10 +43,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id has no label and isn't held out."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(crc_fold(F.col("doc_id"), 5) != 0))
     found = toxicity.detect(docs, model)
-    return found.select("doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+    return found.select("doc_id", F.coalesce(crc_fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,10 +56,11 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id is neither learnt from nor held out."""
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs, crc_fold(F.col("doc_id"), 3) != 1)
     found = language_id.identify(docs, model)
-    return found.select("doc_id", (crc_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+    return found.select("doc_id", F.coalesce(crc_fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
