@@ -9,6 +9,7 @@ The sentences that carry a document's score are then located by their own probab
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -86,10 +87,9 @@ def train(sample: list[tuple[int, str, int]], steps: int = 200, sparse: float =
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
         return ToxicityModel({}, float(np.log(share / (1 - share))))
-    bags = [[set(_words(s)) for s in _ends(t.lower()) if s] or [set()] for _, t, _ in sample]
     seen = (Counter(), Counter())
-    for bag, label in zip(bags, y):
-        seen[int(label)].update({f for w in set().union(*bag) for f in _features(w)})
+    for (_, text, _), label in zip(sample, y):
+        seen[int(label)].update({f for w in set(_words(text.lower())) for f in _features(w)})
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
 
     def lift(f):
@@ -100,14 +100,18 @@ def train(sample: list[tuple[int, str, int]], steps: int = 200, sparse: float =
     lifts = {f: lift(f) for f in seen[0] | seen[1] if seen[0][f] + seen[1][f] >= LEAST_DOCS}
     words = sorted(lifts, key=lambda f: (-lifts[f], f))[:VOCABULARY]
     index = {w: k for k, w in enumerate(words)}
-    col, row, doc = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            hit = {index[f] for w in s for f in _features(w) if f in index}
-            col += hit
-            row += [len(doc)] * len(hit)
+    del seen, lifts
+    begins = {w.rstrip("*")[:4] for w in words}
+    # Sentences one after another, as numbers of features: nothing else of the texts is held.
+    col, size, doc = array("i"), array("i"), array("i")
+    for d, (_, text, _) in enumerate(sample):
+        for s in [s for s in _ends(text.lower()) if s] or [""]:
+            hit = sorted({index[f] for w in set(_words(s)) if w[:4] in begins for f in _features(w) if f in index})
+            col.extend(hit)
+            size.append(len(hit))
             doc.append(d)
-    col, row, doc = np.array(col, int), np.array(row, int), np.array(doc, int)
+    col, doc = np.array(col, np.int32), np.array(doc, np.int32)
+    row = np.repeat(np.arange(len(doc), dtype=np.int32), np.array(size))
     w, b = np.zeros(len(words)), -5.0
     half = np.where(y > 0, 0.3 / n1, 0.7 / n0)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
