@@ -1,9 +1,10 @@
 """Whole texts to token ids through caches of pre-tokens, for any merge engine.
 
-A token never spans the boundary between a non-space and a following space, so a text cut at
-single spaces can be encoded piece by piece, and a piece (with its space in front) has the same
-ids wherever it stands. Pieces and pre-tokens are remembered in bounded dictionaries; texts
-with other runs of white space are cut by the full pattern instead.
+With the pattern ``WORDS`` a token never spans the boundary between a non-space and a following
+space, so a text cut at single spaces can be encoded piece by piece, and a piece (with its space in
+front) has the same ids wherever it stands. Pieces and pre-tokens are remembered in bounded
+dictionaries; texts with other runs of white space, and all texts where the pattern is another, are
+cut by the full pattern instead.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from array import array
 import regex
 
 
+#: Fixed value: the public pattern for which words after a single space are pre-tokens.
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class _Run(Exception):
     """A piece touches a run of white space: the text needs the full pattern."""
 
@@ -48,13 +53,14 @@ class PretokenEncoder:
     """
 
     def __init__(self, pattern: str, engine, pretokens: int = 100_000, pieces: int = 250_000):
-        self.find = regex.compile(pattern).findall
+        self.find = regex.compile(pattern).finditer
+        self.known = pattern == WORDS
         self.ids = lambda t: array("I", engine(t)).tobytes()
         self.tokens = _Memo(self.ids, pretokens)
         self.pieces = _Memo(self._piece, pieces)
 
     def _whole(self, text: str) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, self.find(text)))
+        return b"".join([self.tokens[m.group()] for m in self.find(text)])
 
     def _piece(self, piece: str) -> bytes:
         if piece.isalpha():
@@ -66,7 +72,7 @@ class PretokenEncoder:
         return self._whole(" " + piece)
 
     def encode(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
+        first, *rest = text.split(" ") if self.known else ("",)
         if first and not first[-1].isspace():
             try:
                 return self._whole(first) + b"".join(map(self.pieces.__getitem__, rest))

@@ -11,7 +11,8 @@ Layout of a shard (integers little-endian; the public zstandard seekable format)
 Any zstandard tool can decompress a shard as a whole. ``Shard`` reads the table first and then only
 the frames of the documents asked for, and checks each against its checksum.
 
-Rows are range-partitioned by doc_id, so shard k holds smaller ids than shard k + 1; a shard is
+Rows are range-partitioned by doc_id and a hash of the text, so shard k holds no greater ids than
+shard k + 1, and an id that many rows share spreads over shards; a shard is
 written under a name of its own for each attempt and then moved into place, so a task that runs
 again leaves the same file. Only one summary row per shard reaches the driver.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches
-from .pretoken import PretokenEncoder
+from .pretoken import WORDS, PretokenEncoder
 
 #: Fixed values of the zstandard seekable format.
 SKIP_INDEX, SKIP_SEEK, SEEK_MAGIC, CHECKSUMS = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -43,7 +44,7 @@ NULL_ID = -(1 << 63)
 class TokenizersEncoder:
     """Ids of the tokenizers library, added special tokens recognised as it does, none appended."""
 
-    _made: dict[str, "TokenizersEncoder"] = {}
+    _made: dict[tuple[str, str], "TokenizersEncoder"] = {}
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
@@ -51,7 +52,10 @@ class TokenizersEncoder:
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.whole = lambda text: self.tok.encode(text, add_special_tokens=False).ids
-        plain = self.tok.normalizer is None and type(self.tok.pre_tokenizer).__name__ == "ByteLevel" and type(self.tok.model).__name__ == "BPE"
+        before = self.tok.pre_tokenizer
+        plain = self.tok.normalizer is None and type(before).__name__ == "ByteLevel" and type(self.tok.model).__name__ == "BPE"
+        # The shortcut is that of the byte-level splitter's own expression, without a space put in front.
+        plain = plain and pattern == WORDS and before.use_regex and not before.add_prefix_space
         tokenize, chars = self.tok.model.tokenize, self._byte_chars()
         engine = (lambda t: [x.id for x in tokenize(t.encode().decode("latin-1").translate(chars))]) if plain else self.whole
         self.cut = PretokenEncoder(pattern, engine) if plain else None
@@ -65,9 +69,9 @@ class TokenizersEncoder:
 
     @classmethod
     def at(cls, path: str, pattern: str) -> "TokenizersEncoder":
-        if path not in cls._made:
-            cls._made[path] = cls(path, pattern)
-        return cls._made[path]
+        if (path, pattern) not in cls._made:
+            cls._made[path, pattern] = cls(path, pattern)
+        return cls._made[path, pattern]
 
     def encode(self, text: str) -> bytes:
         if self.cut is None or any(s in text for s in self.special):
@@ -132,6 +136,17 @@ class Shard:
         return out
 
 
+def _uri(folder: str) -> str:
+    """The folder as the workers' file systems name it; ValueError for one they don't know."""
+    kind, sep, rest = folder.partition(":")
+    if not sep or "/" in kind:
+        return f"file://{folder}"
+    known = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "gcs": "gs", "abfs": "abfs", "abfss": "abfss"}
+    if kind not in known:
+        raise ValueError(f"token files can't be written to {kind}:")
+    return f"{known[kind]}://{rest.removeprefix('//')}" if kind != "file" else f"file:///{rest.lstrip('/')}"
+
+
 def write_token_files(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = 2, shards: int | None = None) -> list[tuple[str, int, int]]:
     """Encode whole texts, append ``end_id``, write shards in ascending doc_id order.
 
@@ -141,10 +156,10 @@ def write_token_files(docs: DataFrame, folder: str, path: str, pattern: str, end
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    uri = folder if "://" in folder else f"file://{folder}"
+    uri = _uri(folder)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    rows = rows.withColumn("th", F.xxhash64("text")).repartitionByRange(n, "doc_id", "th").sortWithinPartitions("doc_id", "th", "text").drop("th")
 
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(uri)
