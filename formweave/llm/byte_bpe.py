@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, lean
 from .pretoken import PretokenEncoder
 
 #: Byte b stands as this character plus b: two bytes of UTF-8, no white space, no normalisation.
@@ -86,7 +86,7 @@ class ByteBPE:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(ranks))
         self.rank_of = [-1, *sorted(ranks.values())]
         self.bytes_of = {r: t for t, r in ranks.items()}
-        self.cut = PretokenEncoder(pattern, self._pretoken)
+        self.cut = PretokenEncoder(pattern, self._pretoken, pretokens=50_000, pieces=100_000)
 
     @classmethod
     def at(cls, path: str, pattern: str) -> "ByteBPE":
@@ -125,7 +125,7 @@ def encode(docs: DataFrame, path: str, pattern: str, decode_too: bool = False) -
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "decoded"][: len(cols)])
 
     schema = "doc_id long, ids binary" + ", decoded binary" * decode_too
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -137,4 +137,4 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.decode(x or b"") for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "decoded"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, decoded binary")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(lean(run), "doc_id long, decoded binary")

@@ -19,7 +19,7 @@ from ..session import ship
 _OWN: dict[str, str] = {}
 
 #: Bytes of an Arrow batch sent to a Python worker, so that long texts stay in memory.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,6 +77,26 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def lean(run):
+    """``run`` over batches, giving memory it is done with back to the machine: workers live on and do other stages."""
+
+    def outer(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # Another C library, which has no such call.
+
+    return outer
+
+
 def crc_fold(col: Column, n: int) -> Column:
     """crc32 of the decimal text of an id, modulo ``n`` (null for a null id)."""
     return F.crc32(col.cast("string")) % F.lit(n)

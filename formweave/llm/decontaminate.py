@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches
+from .common import Scratch, bound_batches, lean
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 16, 8
 #: Characters of the items that one index holds; a larger benchmark is searched index by index.
@@ -181,7 +181,7 @@ def indexes(benchmark: DataFrame, most: int = INDEX_CHARS) -> list[BenchmarkInde
             )
 
     scratch = Scratch(benchmark.sparkSession, "benchmark")
-    items = scratch.cut(rows.mapInArrow(run, "item_id long, text string, norm string, part int, grams array<string>"), "items")
+    items = scratch.cut(rows.mapInArrow(lean(run), "item_id long, text string, norm string, part int, grams array<string>"), "items")
     once = items.groupBy("norm").agg(F.first("part").alias("part"), F.first("grams").alias("grams")).select("part", F.explode("grams").alias("gram"))
     # Counts of each part first, then of all: a shingle that every item holds makes one row for each part.
     each = scratch.cut(once.groupBy("part", "gram").agg(F.count(F.lit(1)).alias("n")), "each")
@@ -218,7 +218,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.int32(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-        got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+        got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), schema)
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -235,5 +235,5 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 texts = b.column(b.schema.get_field_index("text")).to_pylist()
                 yield b.filter(pa.array([not (t and shared.value.matches(t)) for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

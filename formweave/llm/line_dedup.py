@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches
+from .common import Scratch, bound_batches, lean
 from .graph import connected_components
 
 RADIUS, SIMILARITY = 3, 0.8
@@ -251,7 +251,7 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
 
 
 #: Pairs for each block of 64 characters from which on distances are reckoned together, and numbers in a table of them at most.
-TOGETHER, TABLE = 20, 1 << 22
+TOGETHER, TABLE = 20, 1 << 20
 
 
 def within(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
@@ -421,7 +421,7 @@ def _occurrences(docs: DataFrame, banded: bool) -> DataFrame:
                     )
 
     types = "chars int, " + ", ".join(f"{c} long" for c in _DEALT[1:])
-    return _rows(docs).mapInArrow(run, f"doc_id long, th long, line_no int, key long, sh long, {types}")
+    return _rows(docs).mapInArrow(lean(run), f"doc_id long, th long, line_no int, key long, sh long, {types}")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -484,7 +484,7 @@ class _Buckets:
 #: Runs up to this many rows are compared together with others of their batch.
 SHORT = 64
 #: Pairs that are held at once, and characters of those that wait for a distance.
-PAIRS, UNSURE = 1 << 17, 1 << 23
+PAIRS, UNSURE = 1 << 17, 1 << 22
 
 
 def _pairs(size: np.ndarray, fit):
@@ -586,7 +586,7 @@ def _marked(nodes: DataFrame, radius: int, similarity: float, scratch: Scratch)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names)
 
     rows = _buckets(nodes, radius).repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key")
-    dealt = scratch.cut(rows.mapInArrow(compare, "tile long, number int, sub long, bucket long, key long"), "dealt")
+    dealt = scratch.cut(rows.mapInArrow(lean(compare), "tile long, number int, sub long, bucket long, key long"), "dealt")
     one = dealt.where("sub < 0").select("tile", "number", F.lit(0).alias("side"), "key")
     t = scratch.cut(dealt.where("sub >= 0").groupBy("tile", "number", "sub").agg(F.collect_list("bucket").alias("b"), F.collect_list("key").alias("k")), "tiles")
     other = t.select("tile", F.col("sub").alias("sub_b"), F.col("b").alias("b_b"), F.col("k").alias("k_b"))
@@ -611,7 +611,7 @@ def _marked(nodes: DataFrame, radius: int, similarity: float, scratch: Scratch)
                         yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*full, key)], ["tile", "number", "side", "key"])
 
     pairs = both.select(F.xxhash64("tile", "sub", "sub_b").alias("tile"), "number", (F.col("sub") == F.col("sub_b")).alias("same"), "b", "k", "b_b", "k_b")
-    out = scratch.cut(one.unionByName(pairs.mapInArrow(across, "tile long, number int, side int, key long")), "marked")
+    out = scratch.cut(one.unionByName(pairs.mapInArrow(lean(across), "tile long, number int, side int, key long")), "marked")
     scratch.drop(dealt, t)
     return out
 
@@ -650,7 +650,7 @@ def _tiled(docs: DataFrame, lines: DataFrame, banded: bool) -> DataFrame:
                     yield from tiled(norms, lines.slice(begin, k + 1 - begin).flatten())
                     norms, chars, begin = [], 0, k + 1
 
-    return rows.mapInArrow(run, "tile long, number int, side int, key long, sh long, prior binary, norm string")
+    return rows.mapInArrow(lean(run), "tile long, number int, side int, key long, sh long, prior binary, norm string")
 
 
 def _bands(norms: list[bytes], hashes: np.ndarray, size: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -749,7 +749,7 @@ def _verified(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
         if found := decided(unsure):
             yield links(found)
 
-    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "src struct<key:long,sh:long>, dst struct<key:long,sh:long>")
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lean(run), "src struct<key:long,sh:long>, dst struct<key:long,sh:long>")
 
 
 def duplicate_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, scratch: Scratch | None = None, banded: bool = False) -> DataFrame:

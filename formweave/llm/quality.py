@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, adam, bound_batches, gram_profile, labelled_sample, sigmoid
+from .common import Scratch, adam, bound_batches, gram_profile, labelled_sample, lean, sigmoid
 
 GRAM, BITS = 3, 12
 #: Bounds of the training sample: documents and characters of their texts together.
@@ -119,6 +119,6 @@ def rate(docs: DataFrame, model: QualityModel, tail: int = 0, keep: float = 0.5,
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.expected(t) for t in tails], pa.float64()), pa.array(prob), pa.array(prob >= keep)], ["doc_id", "expected_grade", "tail_prob", "selected"])
 
     if columns:
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(lean(run), docs.schema)
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cols.mapInArrow(run, "doc_id long, expected_grade double, tail_prob double, selected boolean")
+    return cols.mapInArrow(lean(run), "doc_id long, expected_grade double, tail_prob double, selected boolean")

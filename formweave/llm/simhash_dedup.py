@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches
+from .common import Scratch, bound_batches, lean
 from .graph import connected_components
 from .tiles import forest, near, near_in_pieces, tiles
 
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fps = [text_fingerprint(t or b"", words) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def cell(fp: F.Column) -> F.Column:
@@ -111,7 +111,7 @@ def links(fps: DataFrame, radius: int, scratch: Scratch, tile: int = 2048) -> Da
             if src:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
 
-    return pairs.mapInArrow(run, "src long, dst long")
+    return pairs.mapInArrow(lean(run), "src long, dst long")
 
 
 def _grouped(rows: DataFrame, node: str, pairs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -186,7 +186,7 @@ def _long_rows(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array([n for _, n in got], pa.int64()), pa.array([x for x, _ in got], pa.binary())], ["doc_id", "th", "node", "n", "bits"])
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, node long, n long, bits binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(lean(run), "doc_id long, th long, node long, n long, bits binary")
 
 
 def similar_links(nodes: DataFrame, similarity: float, scratch: Scratch, tile: int = 1024) -> DataFrame:
@@ -230,7 +230,7 @@ def similar_links(nodes: DataFrame, similarity: float, scratch: Scratch, tile: i
             if src:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
 
-    return pairs.mapInArrow(run, "src long, dst long")
+    return pairs.mapInArrow(lean(run), "src long, dst long")
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, scratch: Scratch | None = None) -> DataFrame:
