@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import dates, numbers
+from .fuzzy import best_choice
 from .numbers import _outcome, digits
 from .text import clean_spaces, strip_accents
 
@@ -43,14 +44,17 @@ def datetime(c: Column) -> Column:
 
 
 def choice(c: Column, choices: list[str]) -> Column:
-    """The first choice that equals, holds or is held by the text once folded; else the text and a warning.
+    """The first choice that equals, holds or is held by the text once folded, else the one most like it, else the text and a warning.
 
-    The fuzzy fall-back is ``fuzzy.best_choice``, which runs in Arrow batches.
+    Likeness is ``fuzzy.best_choice``, in Arrow batches; texts of another length than it allows aren't sent there.
     """
     key = F.trim(F.lower(strip_accents(c)))
     fold = lambda s: F.trim(F.lower(strip_accents(F.lit(s))))
     hit = F.coalesce(*[F.when((key == fold(s)) | key.contains(fold(s)) | fold(s).contains(key), F.lit(s)) for s in choices])
     blank = F.coalesce(F.trim(c), F.lit("")) == ""
+    sizes = [len(s) for s in choices]
+    unsure = hit.isNull() & ~blank & F.length(key).between(min(sizes) * 2 // 3, max(sizes) * 3 // 2 + 1)
+    hit = F.coalesce(hit, best_choice(choices)(F.when(unsure, key)))
     return _outcome(F.when(~blank, F.coalesce(hit, c)), (blank, "no choice"), (~blank & hit.isNull(), "not one of the choices"))
 
 

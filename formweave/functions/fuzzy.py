@@ -6,6 +6,7 @@ length, so a comparison takes as many steps as the shorter text has characters.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
 
@@ -42,8 +43,20 @@ def partial_of(a: str | None, b: str | None) -> float:
     if a in b:
         return 100.0
     n = len(a)
-    windows = {b[max(0, k) : k + n] for k in range(1 - n, len(b))}
-    return max(ratio_of(a, w) for w in windows)
+    # How many characters of the shorter text each window holds bounds its ratio: windows are tried from the best bound on.
+    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a, b))
+    most = np.zeros(len(b) + n - 1, np.int64)
+    for c, held in zip(*np.unique(x, return_counts=True)):
+        total = np.concatenate([np.zeros(n, np.int64), np.cumsum(y == c), np.full(n, int((y == c).sum()))])
+        most += np.minimum(held, (total[n:] - total[:-n])[: len(b) + n - 1])
+    size = np.minimum(np.arange(1, len(b) + n), n)
+    size = np.minimum(size, size[::-1])
+    bound, best = 200.0 * most / (n + size), 0.0
+    for k in np.argsort(-bound, kind="stable").tolist():
+        if bound[k] <= best:
+            break
+        best = max(best, ratio_of(a, b[max(0, k + 1 - n) : k + 1]))
+    return best
 
 
 def _pairwise(f):
@@ -73,6 +86,9 @@ def best_choice(choices: list[str], least: float = 80.0):
     def pick(keys: pd.Series) -> pd.Series:
         out = []
         for k in keys:
+            if k is None:
+                out.append(None)
+                continue
             best = max(((ratio_of(k, f), -i) for i, f in enumerate(folded)), default=(0.0, 0))
             out.append(choices[-best[1]] if best[0] >= least else None)
         return pd.Series(out, dtype=object)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import ratio
-from ..functions.text import norm_key
+from ..functions.text import strip_accents
 from .rules import ratios
 
 OCR_SIMILARITY, TABLE_SIMILARITY = 85.0, 0.6
@@ -80,11 +80,16 @@ def error_type(pred: Column, gold: Column, exact: Column, similarity: Column) ->
     )
 
 
+def canon(c: Column) -> Column:
+    """Without accents, case and outer spaces: what similarities and sets are compared by."""
+    return F.trim(F.lower(strip_accents(c)))
+
+
 def compare_scalars(pairs: DataFrame) -> DataFrame:
     """``(…, pred, gold)`` as JSON -> with ``gt_present, pred_present, exact, similarity, error_type``."""
     p, g = F.col("pred"), F.col("gold")
     out = pairs.withColumn("exact", scalar_equal(p, g))
-    fuzzy = ratio(norm_key(_text(p)), norm_key(_text(g))) / 100
+    fuzzy = ratio(canon(_text(p)), canon(_text(g))) / 100
     out = out.withColumn("similarity", F.when(F.col("exact"), 1.0).when(is_empty(p) | is_empty(g), 0.0).otherwise(fuzzy))
     return _outcome(out)
 
@@ -96,7 +101,7 @@ def _outcome(out: DataFrame) -> DataFrame:
 
 def compare_arrays(pred: Column, gold: Column) -> tuple[Column, Column]:
     """(exact, Jaccard similarity) of two arrays of texts as sets of folded texts."""
-    fold = lambda a: F.array_distinct(F.transform(F.coalesce(a, F.array().cast("array<string>")), norm_key))
+    fold = lambda a: F.array_distinct(F.transform(F.coalesce(a, F.array().cast("array<string>")), canon))
     p, g = fold(pred), fold(gold)
     shared, union = F.size(F.array_intersect(p, g)), F.size(F.array_union(p, g))
     return (shared == union), shared / F.greatest(union, F.lit(1))

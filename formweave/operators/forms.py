@@ -59,8 +59,12 @@ def classify(docs: DataFrame, forms: list[Form], fuzzy: bool = True) -> DataFram
     d = docs.select("doc_id", text.alias("_t"))
     scores = []
     for k, form in enumerate(forms):
-        # Containment is a ratio of 100, so the UDF runs only where it can change the answer.
-        hits = [(d["_t"].contains(w) | (partial_ratio(d["_t"], F.lit(w)) >= KEYWORD_RATIO) if fuzzy else d["_t"].contains(w)).cast("double") for w in (_fold(x) for x in form.keywords)]
+        hits = []
+        for w in map(_fold, form.keywords):
+            held = d["_t"].contains(w)
+            # A text that holds the keyword isn't sent to the workers: its ratio is 100.
+            likeness = partial_ratio(F.when(~held, d["_t"]), F.lit(w)) >= KEYWORD_RATIO
+            hits.append((held | likeness if fuzzy else held).cast("double"))
         score = sum(hits[1:], hits[0]) / len(hits) if hits else F.lit(0.0)
         scores.append(F.struct(F.coalesce(score, F.lit(0.0)).alias("score"), F.lit(-k).alias("ord"), F.lit(form.name).alias("form")))
     best = F.array_max(F.array(*scores))

@@ -65,7 +65,7 @@ def merge(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def gather(anchors: DataFrame, lines: DataFrame, max_below: int = 1) -> DataFrame:
-    """For each anchor: the lines to its right and up to ``max_below`` lines below it, merged."""
+    """For each anchor: the lines to its right and up to ``max_below`` lines below it, merged; a line that is both counts twice."""
     keys, h, gap = [*PAGE, "anchor"], F.col("y2") - F.col("y1"), F.col("v_y1") - F.col("y2")
     pairs = _beside(anchors, lines).withColumn("anchor", F.col("line_no"))
     over = vertical_overlap(F.col("y1"), F.col("y2"), F.col("v_y1"), F.col("v_y2")) >= 0.4
@@ -73,7 +73,7 @@ def gather(anchors: DataFrame, lines: DataFrame, max_below: int = 1) -> DataFram
     below = pairs.where(gap.between(-0.2 * h, 2.5 * h) & (F.abs(F.col("v_x1") - F.col("x1")) <= 2.5 * h))
     below = below.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("v_y1", "v_line_no"))).where(F.col("_k") <= max_below).drop("_k")
     both = right.unionByName(below).select(*keys, *[F.col(f"v_{c}").alias(c) for c in _LINE])
-    return merge(both.dropDuplicates([*keys, "line_no"]), keys)
+    return merge(both, keys)
 
 
 def cluster_rows(lines: DataFrame, keys: list[str], least: float = 0.3) -> DataFrame:

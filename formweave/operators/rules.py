@@ -66,20 +66,29 @@ def rule_table(spark: SparkSession, c: Catalogue) -> DataFrame:
 def resolve(facts: DataFrame, c: Catalogue) -> DataFrame:
     """``(doc_id, form_id, alias, key, value, kind)``: the exact key, else the only key with the suffix, else no row.
 
-    Forms join by equality with the broadcast selectors; the suffix test filters what is left.
+    Suffixes are tested on the distinct keys of each form; facts then join by equality of their key.
+    What comes out lies by document, so grouping by it again needs no shuffle.
     """
     rows = [(f, a, s) for f, by in c.selectors.items() for a, s in by.items()]
     selectors = facts.sparkSession.createDataFrame(rows, "form_id string, alias string, selector string")
-    hit = facts.join(F.broadcast(selectors), "form_id").where(F.col("key").endswith(F.col("selector")))
-    best = F.struct((F.col("key") == F.col("selector")).alias("exact"), "key", "value", "kind")
+    keys = facts.select("form_id", "key").distinct().join(F.broadcast(selectors), "form_id").where(F.col("key").endswith(F.col("selector")))
+    keys = keys.select("form_id", "key", "alias", (F.col("key") == F.col("selector")).alias("exact"))
+    hit = facts.join(keys, ["form_id", "key"]).repartition("doc_id")
+    best = F.struct("exact", "key", "value", "kind")
     return (
         hit.groupBy("doc_id", "form_id", "alias")
-        .agg(F.max(best).alias("b"), F.count_distinct("key").alias("n"))
-        .where("b.exact or n = 1")
+        .agg(F.max(best).alias("b"), (F.min("key") == F.max("key")).alias("one"))
+        .where("b.exact or one")
         .select("doc_id", "form_id", "alias", "b.key", "b.value", "b.kind")
     )
 
 
+def values_of(facts: DataFrame, c: Catalogue) -> DataFrame:
+    """``(doc_id, form_id, values MAP<alias, STRUCT<key, value, kind>>)`` of documents that resolve an alias."""
+    entry = F.struct("alias", F.struct("key", "value", "kind"))
+    return resolve(facts, c).groupBy("doc_id", "form_id").agg(F.map_from_entries(F.collect_list(entry)).alias("values"))
+
+
 def _number(v: Column) -> Column:
     return F.when(v["kind"] == "number", v["value"].try_cast(numbers.OPERAND)).when(v["kind"] == "string", numbers.parse_number(v["value"]))
 
@@ -93,23 +102,37 @@ def _total(items: Column) -> Column:
     return F.aggregate(items, F.lit(0).cast("decimal(38,4)"), lambda a, x: F.try_add(a, x).try_cast("decimal(38,4)"))
 
 
-def evaluate(values: DataFrame, rules: DataFrame) -> DataFrame:
-    """``values(doc_id, form_id, values MAP<alias, STRUCT<key, value, kind>>)`` -> checks, one row per document and rule."""
-    j = values.join(F.broadcast(rules), F.col("form_id") == F.col("form_type"))
-    ops = F.transform("operands", lambda a: F.try_element_at(F.col("values"), a))
-    j = j.withColumn("ops", ops)
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are reckoned once: a generator of one row keeps the optimizer from copying them into their uses."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
+def _parsed(values: DataFrame) -> DataFrame:
+    """``values`` with ``parsed``: number, date and emptiness of each value, found once for its document, whatever number of rules reads it."""
     empty = lambda v: v.isNull() | (v["kind"] == "null") | ((v["kind"] == "string") & (v["value"] == ""))
+    return _once(values, parsed=F.transform_values("values", lambda _, v: F.struct(_number(v).alias("number"), dates.parse_date(v["value"]).alias("day"), empty(v).alias("empty"))))
+
+
+def evaluate(values: DataFrame, rules: DataFrame, only: Column | None = None) -> DataFrame:
+    """``values(doc_id, form_id, values MAP<alias, STRUCT<key, value, kind>>)`` -> checks, one row per document and rule that ``only`` holds for."""
+    j = _parsed(values).join(F.broadcast(rules), F.col("form_id") == F.col("form_type"))
+    j = j if only is None else j.where(only)
+    ops = F.transform("operands", lambda a: F.try_element_at(F.col("parsed"), a))
     zero = F.lit(0).cast(numbers.OPERAND)
-    nums = F.transform("ops", lambda v: F.when(empty(v) & F.col("null_as_zero"), zero).otherwise(_number(v)))
-    days = F.transform("ops", lambda v: dates.parse_date(v["value"]))
-    # A generator of one row: filters on the outcome aren't copied down into the parsing.
-    j = j.select("*", F.inline(F.array(F.struct(nums.alias("nums"), days.alias("days")))))
+    j = _once(j, ops=ops)
+    nums = F.transform("ops", lambda v: F.when((v.isNull() | v["empty"]) & F.col("null_as_zero"), zero).otherwise(v["number"]))
+    days = F.transform("ops", lambda v: v["day"])
+    j = _once(j, nums=nums, days=days)
     n0, n1 = F.get("nums", F.lit(0)), F.get("nums", F.lit(1))
     d0, d1 = F.get("days", F.lit(0)), F.get("days", F.lit(1))
     rest = F.slice("nums", 2, F.size("nums"))
-    expected = F.when(F.col("operation") == "equals_product", _product(rest)).when(F.col("operation") == "sum_equals", _total(rest))
-    anniversary = dates.add_years(d0, F.get("nums", F.lit(2)).cast("int"))
     op = F.col("operation")
+    j = _once(
+        j,
+        expected_number=F.when(op == "equals_product", _product(rest)).when(op == "sum_equals", _total(rest)),
+        anniversary=F.when(op == "years_between", dates.add_years(d0, F.get("nums", F.lit(2)).cast("int"))),
+    )
+    expected, anniversary = F.col("expected_number"), F.col("anniversary")
     near = numbers.close(n0, expected, F.col("relative_tolerance"), F.col("absolute_tolerance"))
     passed = (
         F.when(op.isin("equals_product", "sum_equals"), near)
@@ -124,9 +147,9 @@ def evaluate(values: DataFrame, rules: DataFrame) -> DataFrame:
         .when(op == "less_or_equal", F.concat(F.lit("<= "), numbers.display_decimal(n1))).otherwise(numbers.display_decimal(expected))
     )
     status = F.when(passed, F.lit("pass")).when(~passed, F.lit("violation")).otherwise(F.lit("skipped"))
-    message = F.when(passed, F.concat(F.lit("Passed: "), "title", F.lit("."))).when(~passed, F.col("message")).otherwise(F.lit("Not enough valid data."))
-    done = F.col("status") != "skipped"
-    out = j.select("*", F.explode(F.array(status)).alias("status"))
+    state, done = F.col("status"), F.col("status") != "skipped"
+    message = F.when(state == "pass", F.concat(F.lit("Passed: "), "title", F.lit("."))).when(done, F.col("message")).otherwise(F.lit("Not enough valid data."))
+    out = _once(j, status=status)
     return out.select(
         "doc_id", "form_type", "rule_id", "ord", "title", "severity", "operation", "status",
         F.when(done, actual).alias("actual"), F.when(done, shown).alias("expected"), message.alias("message"),
@@ -135,8 +158,7 @@ def evaluate(values: DataFrame, rules: DataFrame) -> DataFrame:
 
 def check(documents: DataFrame, facts: DataFrame, catalogue: Catalogue) -> DataFrame:
     """Checks of ``documents(doc_id, form_id)``, by way of their facts; documents without facts skip their rules."""
-    found = resolve(facts, catalogue).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("alias", F.struct("key", "value", "kind")))).alias("values"))
-    values = documents.select("doc_id", "form_id").join(found, "doc_id", "left")
+    values = documents.select("doc_id", "form_id").join(values_of(facts, catalogue), ["doc_id", "form_id"], "left")
     values = values.withColumn("values", F.coalesce("values", F.create_map().cast("map<string,struct<key:string,value:string,kind:string>>")))
     return evaluate(values, rule_table(documents.sparkSession, catalogue))
 
@@ -181,21 +203,23 @@ def summary(checks: DataFrame, most: int = 6) -> DataFrame:
 def llm_payload(checks: DataFrame) -> DataFrame:
     """``(doc_id, payload)``: computed results alone, as JSON for an outside summariser."""
     item = F.struct("rule_id", "severity", "status", "actual", "expected", "message")
-    return checks.groupBy("doc_id", "form_type").agg(F.to_json(F.sort_array(F.collect_list(item))).alias("checks")).select("doc_id", F.concat(F.lit('{"form_type":"'), "form_type", F.lit('","checks":'), "checks", F.lit("}")).alias("payload"))
+    g = checks.groupBy("doc_id", "form_type").agg(F.sort_array(F.collect_list(item)).alias("checks"))
+    return g.select("doc_id", F.to_json(F.struct("form_type", "checks")).alias("payload"))
 
 
 def mutate(values: DataFrame, rules: DataFrame) -> DataFrame:
-    """A case per document and rule: ``(doc_id, target, form_id, values)`` with one operand changed so that the rule breaks.
+    """A case per document and rule: ``(doc_id, target, form_id, changed, values)`` with one operand changed so that the rule breaks.
 
-    Rules that opt out or whose operand can't be changed give no case.
+    The document's key ``changed`` is given the new value, so every alias that reads it changes.
+    Rules that opt out, or whose operand has no key or can't be changed, give no case.
     """
-    j = values.join(F.broadcast(rules.where("eval_mutation")), F.col("form_id") == F.col("form_type"))
-    v = lambda k: F.try_element_at(F.col("values"), F.get("operands", F.lit(k)))
-    n = lambda k: _number(v(k))
-    d = lambda k: dates.parse_date(v(k)["value"])
-    op = F.col("operation")
-    own = F.coalesce(F.try_element_at(F.col("values"), F.col("mutation_alias")), v(0))
-    number = _number(own)
+    j = _parsed(values).join(F.broadcast(rules.where("eval_mutation")), F.col("form_id") == F.col("form_type"))
+    v = lambda k: F.try_element_at(F.col("parsed"), F.get("operands", F.lit(k)))
+    of = F.struct(*[v(k)["number"].alias(f"n{k}") for k in (0, 1)], *[v(k)["day"].alias(f"d{k}") for k in (0, 1)], F.coalesce(F.try_element_at(F.col("parsed"), F.col("mutation_alias")), v(0))["number"].alias("own"))
+    j = _once(j, of=of)
+    n = lambda k: F.col(f"of.n{k}")
+    d = lambda k: F.col(f"of.d{k}")
+    op, number = F.col("operation"), F.col("of.own")
     text = lambda c: c.cast("decimal(38,6)").cast("string")
     first = F.get("operands", F.lit(0))
     second = F.get("operands", F.lit(1))
@@ -213,18 +237,24 @@ def mutate(values: DataFrame, rules: DataFrame) -> DataFrame:
         .when(op == "years_between", F.date_format(F.date_add(d(1), 370), "yyyy-MM-dd"))
     )
     kind = F.when(op.isin("date_order", "years_between"), F.lit("string")).otherwise(F.lit("number"))
-    j = j.withColumn("alias", alias).withColumn("new", F.struct(F.col("alias").alias("key"), new.alias("value"), kind.alias("kind"))).where("new.value is not null")
-    rest = F.map_filter("values", lambda k, _: k != F.col("alias"))
-    return j.select("doc_id", F.col("rule_id").alias("target"), "form_id", F.map_concat(rest, F.create_map("alias", "new")).alias("values"))
+    changed = F.try_element_at(F.col("values"), alias)["key"]
+    j = _once(j, changed=changed, new=new, new_kind=kind).where("new is not null and changed is not null")
+    own = F.struct(F.col("changed").alias("key"), F.col("new").alias("value"), F.col("new_kind").alias("kind"))
+    values = F.transform_values("values", lambda _, x: F.when(x["key"] == F.col("changed"), own).otherwise(x))
+    return j.select("doc_id", F.col("rule_id").alias("target"), "form_id", "changed", values.alias("values"))
 
 
 def mutation_benchmark(values: DataFrame, rules: DataFrame) -> DataFrame:
-    """``(doc_id, target, predicted)``: new violations of each case against the document's own, baseline failures left out."""
+    """``(doc_id, target, predicted)``: new violations of each case against the document's own, baseline failures left out.
+
+    Only rules that read the changed key can come out otherwise, so no others are evaluated again.
+    """
     base = evaluate(values, rules).where("status = 'violation'").groupBy("doc_id").agg(F.collect_set("rule_id").alias("base"))
-    cases = mutate(values, rules).withColumn("case", F.struct("doc_id", "target"))
-    after = evaluate(cases.select(F.col("case").alias("doc_id"), "form_id", "values"), rules)
-    after = after.groupBy("doc_id").agg(F.collect_set(F.when(F.col("status") == "violation", F.col("rule_id"))).alias("after"))
-    after = after.select("doc_id.doc_id", "doc_id.target", "after").join(base, "doc_id", "left")
+    cases = mutate(values, rules).withColumn("case", F.struct("doc_id", "target", "changed"))
+    reads = F.exists("operands", lambda a: F.try_element_at(F.col("values"), a)["key"] == F.col("doc_id.changed"))
+    after = evaluate(cases.select(F.col("case").alias("doc_id"), "form_id", "values"), rules, reads)
+    after = after.groupBy("doc_id.doc_id", "doc_id.target").agg(F.collect_set(F.when(F.col("status") == "violation", F.col("rule_id"))).alias("after"))
+    after = after.join(base, "doc_id", "left")
     before = F.coalesce("base", F.array().cast("array<string>"))
     return after.where(~F.array_contains(before, F.col("target"))).select("doc_id", "target", F.sort_array(F.array_except("after", before)).alias("predicted"))
 

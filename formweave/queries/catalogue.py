@@ -150,10 +150,17 @@ h AS (SELECT doc_id,
 SELECT doc_id, CASE WHEN greatest(a, b, c) < 0.34 THEN 'generic' WHEN a >= b AND a >= c THEN 'licence' WHEN b >= c THEN 'mail' ELSE 'table' END AS form,
   round(greatest(a, b, c), 6) AS score FROM h
 """)
-def doc_classify(t):
+def doc_classify_exact(t):
+    """Keywords by containment."""
     return forms.classify(t("documents"), _FORMS, fuzzy=False).withColumn("score", F.round("score", 6))
 
 
+@query()
+def doc_classify(t):
+    """Keywords by partial ratio, which has no SQL; a unit test has it by brute force."""
+    return forms.classify(t("documents"), _FORMS).withColumn("score", F.round("score", 6))
+
+
 _PAGE = Form("page", rules=(TextRule("lang", "text", 'lang="([a-z]+)"'), TextRule("title", "text", "<title>([^<]*)</title>"), TextRule("ad", "digits", "<!-- ad ([0-9]+) -->")))
 
 
@@ -253,13 +260,25 @@ def region_filter(t):
     return layout.merge(layout.in_region(b, pages, (0.5, 0.0, 1.0, 0.5)), layout.PAGE).drop("page_index")
 
 
-@query()
+@query(_BOXES + """
+, p AS (SELECT a.doc_id, a.line_no AS anchor, v.*, a.x2 AS ax2, a.y1 AS ay1, a.y2 AS ay2, a.x1 AS ax1 FROM b a JOIN (SELECT doc_id AS d, line_no, text, x1, y1, x2, y2, confidence FROM b) v ON a.doc_id = v.d AND a.line_no <> v.line_no WHERE a.line_no = 1),
+r AS (SELECT * FROM p WHERE greatest(least(ay2, y2) - greatest(ay1, y1), 0) / 12.0 >= 0.4 AND x1 >= ax2 - 6),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y1, line_no) AS k FROM p WHERE y1 - ay2 BETWEEN -0.2 * 12 AND 2.5 * 12 AND abs(x1 - ax1) <= 2.5 * 12) WHERE k <= 2),
+u AS (SELECT doc_id, anchor, line_no, text, confidence, x1, y1, x2, y2 FROM r UNION ALL SELECT doc_id, anchor, line_no, text, confidence, x1, y1, x2, y2 FROM w)
+SELECT doc_id, 0 AS page_index, anchor, string_agg(text, ' ' ORDER BY round_even(y1 / 10, 0), x1, line_no) AS text, min(confidence) AS confidence, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM u GROUP BY doc_id, anchor
+""")
 def relative_gather(t):
     b = _boxes(t)
     return layout.gather(b.where("line_no = 1"), b, max_below=2)
 
 
-@query()
+@query("WITH RECURSIVE " + _BOXES.strip().removeprefix("WITH") + """
+, o AS (SELECT doc_id, line_no, y1, y2, row_number() OVER (PARTITION BY doc_id ORDER BY y1, x1, line_no) AS k FROM b),
+f AS (SELECT doc_id, k, line_no, 0 AS row_no, y1 AS lo, y2 AS hi FROM o WHERE k = 1
+  UNION ALL SELECT o.doc_id, o.k, o.line_no, f.row_no + (NOT j)::INTEGER, CASE WHEN j THEN least(lo, y1) ELSE y1 END, CASE WHEN j THEN greatest(hi, y2) ELSE y2 END
+  FROM f JOIN (SELECT * FROM o) o ON o.doc_id = f.doc_id AND o.k = f.k + 1, LATERAL (SELECT greatest(least(hi, y2) - greatest(lo, y1), 0) / least(hi - lo, y2 - y1) >= 0.3 AS j))
+SELECT doc_id, line_no, row_no FROM f
+""")
 def row_cluster(t):
     """Rows of boxes by a growing hull: an order-dependent fold."""
     return layout.cluster_rows(_boxes(t), ["doc_id"])
@@ -413,24 +432,53 @@ def compliance_report(t):
     return rules.rollup(_order_documents(t), _checks(t)).drop("form_id")
 
 
-@query()
+@query(_VALUES + """
+, n AS (SELECT doc_id, count(*) AS n, count(*) FILTER (status = 'pass') AS p, count(*) FILTER (status = 'violation') AS v, count(*) FILTER (status = 'skipped') AS s,
+  list('[' || upper(severity) || '] Violated: ' || rule_id || '.' ORDER BY list_position(['order.sum', 'order.product', 'order.within', 'order.ship', 'order.span', 'order.years', 'order.zero'], rule_id)) FILTER (status = 'violation') AS bad FROM checks GROUP BY doc_id)
+SELECT doc_id, n || ' rule checks for order: ' || p || ' passed, ' || v || ' violated, ' || s || ' not assessed.' || CASE WHEN v = 0 THEN ' No violations.' ELSE ' ' || array_to_string(bad[1:6], ' ') || CASE WHEN v > 6 THEN ' ' || (v - 6) || ' more violations.' ELSE '' END END AS summary FROM n
+""")
 def compliance_summary(t):
     return rules.summary(_checks(t))
 
 
-def _order_values(t) -> DataFrame:
-    g = rules.resolve(_order_facts(t), ORDER_RULES).groupBy("doc_id", "form_id")
-    return g.agg(F.map_from_entries(F.collect_list(F.struct("alias", F.struct("key", "value", "kind")))).alias("values"))
+#: Each case has the order's numbers with one of them changed; all rules are reckoned on all cases and on the orders themselves.
+_CASES = _VALUES.split("c AS (SELECT doc_id, unnest")[0] + """
+m AS (SELECT doc_id, NULL AS target, total, lines, quantity, ordered, first, last FROM o
+  UNION ALL SELECT doc_id, 'order.sum', (total + greatest(abs(total) * 0.25, 1))::DECIMAL(24,4), lines, quantity, ordered, first, last FROM o WHERE total IS NOT NULL
+  UNION ALL SELECT doc_id, 'order.product', total, CASE WHEN lines = 0 THEN 1 ELSE lines * 1.25 END, quantity, ordered, first, last FROM o WHERE lines IS NOT NULL
+  UNION ALL SELECT doc_id, 'order.within', (lines / 2)::DECIMAL(24,4), lines, quantity, ordered, first, last FROM o WHERE lines IS NOT NULL AND total IS NOT NULL
+  UNION ALL SELECT doc_id, 'order.ship', total, lines, quantity, ordered, ordered - 1, last FROM o WHERE ordered IS NOT NULL AND first IS NOT NULL
+  UNION ALL SELECT doc_id, 'order.span', total, lines, quantity, ordered, first, first - 1 FROM o WHERE first IS NOT NULL AND last IS NOT NULL
+  UNION ALL SELECT doc_id, 'order.years', total, lines, quantity, ordered, first, last + 370 FROM o WHERE last IS NOT NULL),
+c AS (SELECT doc_id, target, unnest([
+  {'rule_id': 'order.sum', 'ok': abs(total - lines) <= abs(lines) * 0.01},
+  {'rule_id': 'order.product', 'ok': abs(lines - quantity * 1500) <= abs(quantity * 1500) * 0.2},
+  {'rule_id': 'order.within', 'ok': lines <= total},
+  {'rule_id': 'order.ship', 'ok': ordered <= first},
+  {'rule_id': 'order.span', 'ok': first <= last},
+  {'rule_id': 'order.years', 'ok': abs(date_diff('day', (ordered + INTERVAL 1 YEAR)::DATE, last)) <= 1500}], recursive := true) FROM m),
+bad AS (SELECT doc_id, list(rule_id) FILTER (NOT ok) AS base FROM c WHERE target IS NULL GROUP BY doc_id),
+cases AS (SELECT c.doc_id, target, list_sort(coalesce(list(rule_id) FILTER (NOT ok AND NOT list_contains(coalesce(base, []), rule_id)), [])) AS predicted, any_value(base) AS base
+  FROM c JOIN bad USING (doc_id) WHERE target IS NOT NULL GROUP BY c.doc_id, target),
+kept AS (SELECT doc_id, target, predicted FROM cases WHERE NOT list_contains(coalesce(base, []), target))
+"""
 
 
-@query()
+@query(_CASES + "SELECT doc_id, target, array_to_string(predicted, ',') AS predicted FROM kept")
 def mutation_benchmark(t):
-    return rules.mutation_benchmark(_order_values(t), rules.rule_table(t("orders").sparkSession, ORDER_RULES))
+    return _cases(t).withColumn("predicted", F.array_join("predicted", ","))
 
 
-@query()
+def _cases(t) -> DataFrame:
+    return rules.mutation_benchmark(rules.values_of(_order_facts(t), ORDER_RULES), rules.rule_table(t("orders").sparkSession, ORDER_RULES))
+
+
+@query(_CASES + """
+, s AS (SELECT count(*) AS cases, sum(list_contains(predicted, target)::BIGINT)::BIGINT AS tp, sum(len(predicted) - list_contains(predicted, target)::BIGINT)::BIGINT AS fp, sum(1 - list_contains(predicted, target)::BIGINT)::BIGINT AS fn FROM kept)
+SELECT cases, tp, fp, fn, round(tp / (tp + fp)::DOUBLE, 9) AS precision, round(tp / (tp + fn)::DOUBLE, 9) AS recall, round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 9) AS f1 FROM s
+""")
 def mutation_score(t):
-    return rules.mutation_score(mutation_benchmark(t))
+    return rules.mutation_score(_cases(t)).select("cases", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
 # --- evaluation -------------------------------------------------------------------------------
@@ -501,7 +549,9 @@ def eval_report(t):
     return evaluation.aggregate(o).select("path", "form_type", "n", "n_exact", "tp", "fp", "fn", F.round("precision", 9).alias("precision"), F.round("accuracy", 9).alias("accuracy"))
 
 
-@query()
+@query("""
+SELECT o_orderkey AS doc_id, '{"head": {"priority": "' || o_orderpriority || '", "state": "' || o_orderstatus || '"}, "_meta": {"head.priority": {"confidence": 0.9, "status": "ok", "warnings": []}, "head.state": {"confidence": 0.9, "status": "ok", "warnings": []}}}' AS body FROM orders
+""")
 def assemble_json(t):
     o = t("orders")
     rows = F.array(F.struct(F.lit("head.state").alias("name"), F.col("o_orderstatus").alias("value")), F.struct(F.lit("head.priority").alias("name"), F.col("o_orderpriority").alias("value")))
