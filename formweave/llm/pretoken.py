@@ -18,6 +18,10 @@ import regex
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Characters of a text up to which its pre-tokens are listed.
+AT_ONCE = 1 << 16
+
+
 class _Run(Exception):
     """A piece touches a run of white space: the text needs the full pattern."""
 
@@ -53,14 +57,16 @@ class PretokenEncoder:
     """
 
     def __init__(self, pattern: str, engine, pretokens: int = 100_000, pieces: int = 250_000):
-        self.find = regex.compile(pattern).finditer
+        cut = regex.compile(pattern)
+        # Short texts at once, where that is possible; long ones without a list of all their parts.
+        self.find = lambda text: cut.findall(text) if len(text) <= AT_ONCE and not cut.groups else (m.group() for m in cut.finditer(text))
         self.known = pattern == WORDS
         self.ids = lambda t: array("I", engine(t)).tobytes()
         self.tokens = _Memo(self.ids, pretokens)
         self.pieces = _Memo(self._piece, pieces)
 
     def _whole(self, text: str) -> bytes:
-        return b"".join([self.tokens[m.group()] for m in self.find(text)])
+        return b"".join(map(self.tokens.__getitem__, self.find(text)))
 
     def _piece(self, piece: str) -> bytes:
         if piece.isalpha():

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, lean
 from .pretoken import WORDS, PretokenEncoder
 
 #: Fixed values of the zstandard seekable format.
@@ -181,7 +181,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, pattern: str, end
             fs.move(own, name)
             yield pa.RecordBatch.from_pydict({"shard": [part], "docs": [docs_n], "tokens": [tokens]}, pa.schema([("shard", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
-    done = rows.mapInArrow(run, "shard long, docs long, tokens long").collect()
+    done = rows.mapInArrow(lean(run), "shard long, docs long, tokens long").collect()
     return [(f"{uri}/shard-{r.shard:06d}.zst", r.docs, r.tokens) for r in sorted(done)]
 
 
@@ -215,4 +215,4 @@ def read_token_files(spark: SparkSession, shards: list[tuple[str, int, int]], wi
                     m = 4 + with_ids
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:m], types)], names[:m])
 
-    return spark.createDataFrame(rows, "uri string, base long").repartitionByRange(len(rows), "uri").mapInArrow(run, schema)
+    return spark.createDataFrame(rows, "uri string, base long").repartitionByRange(len(rows), "uri").mapInArrow(lean(run), schema)
