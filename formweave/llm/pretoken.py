@@ -58,15 +58,16 @@ class PretokenEncoder:
 
     def __init__(self, pattern: str, engine, pretokens: int = 100_000, pieces: int = 250_000):
         cut = regex.compile(pattern)
-        # Short texts at once, where that is possible; long ones without a list of all their parts.
-        self.find = lambda text: cut.findall(text) if len(text) <= AT_ONCE and not cut.groups else (m.group() for m in cut.finditer(text))
+        self.each = lambda text: (m.group() for m in cut.finditer(text))
+        self.find = self.each if cut.groups else cut.findall
         self.known = pattern == WORDS
         self.ids = lambda t: array("I", engine(t)).tobytes()
         self.tokens = _Memo(self.ids, pretokens)
         self.pieces = _Memo(self._piece, pieces)
 
     def _whole(self, text: str) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, self.find(text)))
+        # Long texts without a list of all their parts.
+        return b"".join(map(self.tokens.__getitem__, self.find(text) if len(text) <= AT_ONCE else self.each(text)))
 
     def _piece(self, piece: str) -> bytes:
         if piece.isalpha():
