@@ -23,9 +23,9 @@ def process(lines: DataFrame, known: list[forms.Form], form: str | None = None)
     return forms.assemble(out.withColumn("status", F.lit("ok")).withColumn("warnings", F.array().cast("array<string>")))
 
 
-def process_specs(lines: DataFrame, specs: list[extract.FieldSpec], min_confidence: float = 0.6) -> DataFrame:
-    """Lines to validated fields by declarative specs."""
-    fields = extract.normalise(extract.extract(lines, specs), specs)
+def process_specs(lines: DataFrame, specs: list[extract.FieldSpec], min_confidence: float = 0.6, pages: DataFrame | None = None) -> DataFrame:
+    """Lines, and pages for what is read off images, to validated fields by declarative specs."""
+    fields = extract.normalise(extract.extract(lines, specs, pages), specs)
     return validate.validate_fields(fields, extract.spec_table(lines.sparkSession, specs), min_confidence)
 
 

@@ -9,6 +9,7 @@ from ..functions import contact, dates, fuzzy, geometry, numbers, text
 from ..operators import evaluation, extract, forms, layout, recognise, rules, validate
 from ..operators.forms import Form, TextRule
 from ..operators.rules import Catalogue, Rule
+from ..schema import PAGES
 from ..session import ship
 
 QUERIES: dict = {}
@@ -331,6 +332,62 @@ def rule_extract(t):
     return extract.extract(lines, specs).select("doc_id", "name", "value", "status")
 
 
+#: Text, left and top of the lines of a drawn form: three boxes to tick, two to choose from, a place to sign.
+_FORM = [("north", 36, 10), ("south", 36, 40), ("east", 36, 70), ("alpha", 126, 10), ("gamma", 126, 40), ("sign here", 20, 100)]
+
+
+def _drawn(t) -> tuple[DataFrame, DataFrame]:
+    """A form for each customer: its lines, and its page unless the key ends in 0.
+
+    Bit k of the key ticks box k, the nation chooses, keys that end in 1 have no boxes to choose from,
+    and a balance over 0 signs.
+    """
+    import numpy as np
+    import pandas as pd
+
+    c = t("customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").cast("double").alias("balance"))
+
+    def draw(frames):
+        for f in frames:
+            rows = []
+            for key, nation, balance in f.itertuples(index=False):
+                page = np.full((150, 180), 255, np.uint8)
+                ticks = [key & 1, key & 2, key & 4, nation % 3 == 0, nation % 3 == 1]
+                for (_, x, y), ticked in list(zip(_FORM, ticks))[: 3 if key % 10 == 1 else 5]:
+                    page[y : y + 12, x - 16 : x - 4] = 0
+                    page[y + 2 : y + 10, x - 14 : x - 6] = 255
+                    if ticked:
+                        page[y + 4 : y + 8, x - 12 : x - 8] = 0
+                if balance > 0:
+                    page[125:128, 30:60] = 0
+                rows.append((str(key), 0, 72, 180, 150, 1, page.tobytes()))
+            yield pd.DataFrame(rows, columns=["source", "page_index", "dpi", "width", "height", "channels", "image"])
+
+    line = F.explode(F.array(*[F.struct(F.lit(k).alias("line_no"), F.lit(x).alias("text"), F.lit(float(a)).alias("x1"), F.lit(float(b)).alias("y1")) for k, (x, a, b) in enumerate(_FORM)]))
+    lines = c.select(F.col("key").cast("string").alias("doc_id"), F.lit(0).alias("page_index"), line.alias("l")).select("doc_id", "page_index", "l.*")
+    lines = lines.select("*", (F.col("x1") + 40).alias("x2"), (F.col("y1") + 12).alias("y2"), F.lit(0.9).alias("confidence"))
+    return lines, c.where("key % 10 <> 0").mapInPandas(draw, PAGES)
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, c_nationkey % 3 AS n, c_acctbal AS b, c_custkey % 10 <> 0 AS page, c_custkey % 10 <> 1 AS boxes FROM customer),
+t AS (SELECT *, list_filter([CASE WHEN k & 1 > 0 THEN 'n' END, CASE WHEN k & 2 > 0 THEN 's' END, CASE WHEN k & 4 > 0 THEN 'e' END], lambda x: x IS NOT NULL) AS ticks FROM c)
+SELECT k::VARCHAR AS doc_id, 'regions' AS name, CASE WHEN NOT page OR len(ticks) = 0 THEN '[]' ELSE '["' || array_to_string(ticks, '","') || '"]' END AS value,
+  CASE WHEN page THEN array_to_string(ticks, ', ') END AS raw_value, CASE WHEN page THEN 'ok' ELSE 'missing' END AS status, CASE WHEN page THEN 0.75::DOUBLE ELSE 0.0::DOUBLE END AS confidence, (NOT page)::INT AS n_warnings FROM t
+UNION ALL SELECT k::VARCHAR, 'way', CASE WHEN page AND boxes AND n < 2 THEN ['a', 'g'][n::INT + 1] END, CASE WHEN page AND boxes AND n < 2 THEN ['a', 'g'][n::INT + 1] END,
+  CASE WHEN page AND boxes THEN 'ok' ELSE 'missing' END, CASE WHEN page AND boxes THEN CASE WHEN n < 2 THEN 0.75 ELSE 0.5 END ELSE 0.0 END, CASE WHEN page AND boxes AND n < 2 THEN 0 ELSE 1 END FROM c
+UNION ALL SELECT k::VARCHAR, 'signed', CASE WHEN page THEN (b > 0)::VARCHAR END, CASE WHEN page THEN (b > 0)::VARCHAR END, CASE WHEN page THEN 'ok' ELSE 'missing' END, CASE WHEN page THEN 0.7 ELSE 0.0 END, (NOT page)::INT FROM c
+""")
+def image_fields(t):
+    lines, pages = _drawn(t)
+    specs = [
+        extract.FieldSpec("regions", "checkbox", options={"n": "north", "s": "south", "e": "east"}),
+        extract.FieldSpec("way", "radio", options={"a": "alpha", "g": "gamma"}),
+        extract.FieldSpec("signed", "signature", anchor=("Sign here",)),
+    ]
+    return extract.extract(lines, specs, pages).select("doc_id", "name", "value", "raw_value", "status", "confidence", F.size("warnings").alias("n_warnings"))
+
+
 @query("""
 SELECT c_custkey::VARCHAR AS doc_id, 'balance' AS name, CASE WHEN c_acctbal < 0 THEN 'missing' WHEN c_acctbal < 100 THEN 'invalid_format' WHEN c_acctbal < 1000 THEN 'low_confidence' ELSE 'ok' END AS status,
   CASE WHEN c_acctbal < 0 THEN 1 WHEN c_acctbal < 100 THEN 2 WHEN c_acctbal < 1000 THEN 1 ELSE 0 END AS n_warnings FROM customer

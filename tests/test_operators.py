@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from formweave.operators import evaluation, extract, forms, images, layout, recognise, rules
 from formweave.queries import ORACLES, QUERIES
-from formweave.schema import LINES, WORDS
+from formweave.schema import LINES, PAGES, WORDS
 
 
 def lines(spark, *rows):
@@ -155,5 +155,26 @@ def test_images():
     assert images.ticked(box, found)
 
 
+def test_marks(spark):
+    page = np.full((120, 200), 255, np.uint8)
+    page[20:32, 30:42] = 0
+    page[22:30, 32:40] = 255
+    yy, xx = np.mgrid[:120, :200]
+    page[np.abs((yy - 66) ** 2 + (xx - 36) ** 2 - 30) < 9] = 0
+    page[64:69, 34:39] = 0
+    assert images.outlines(images.dark(page)) == [(30, 20, 42, 32), (30, 60, 43, 73)]
+    assert images.box_ink(page, (46, 20, 90, 32)) == 0 and images.box_ink(page, (46, 60, 90, 72)) > 0.3 and images.box_ink(page, (150, 20, 190, 32)) is None
+    ls = lines(spark, ("Mail", (46, 20, 90, 32)), ("Post", (46, 60, 90, 72)), ("Nobody", (150, 20, 190, 32)), ("Ký tên", (120, 80, 160, 90)))
+    pages = spark.createDataFrame([("d", 0, 72, 200, 120, 1, page.tobytes())], PAGES)
+    of = lambda p, **spec: extract.extract(ls, [extract.FieldSpec.of({"name": "f", **spec})], p).first()
+    assert (of(pages, strategy="checkbox", options={"m": "Mail", "p": "Post", "n": "Nobody"}).value, of(pages, strategy="checkbox", options={}).status) == ('["p"]', "missing")
+    assert of(pages, strategy="radio", options={"m": "Mail", "p": "Post"}).value == "p"
+    none = of(pages, strategy="radio", options={"m": "Mail"})
+    assert (none.value, none.status, none.confidence, len(none.warnings)) == (None, "ok", 0.5, 1)
+    assert of(pages, strategy="radio", options={"n": "Nobody"}).status == "missing"
+    assert (of(pages, strategy="signature").value, of(pages, strategy="signature", anchor="Sworn").confidence) == ("false", 0.5)
+    assert {of(p, strategy=s, options={"m": "Mail"}).status for p in (None, pages.limit(0)) for s in ("checkbox", "radio", "signature")} == {"missing"}
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
