@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, extract, forms, rules, validate
+from ..operators import evaluation, extract, forms, rules, shipped, validate
 
 
 def process(lines: DataFrame, known: list[forms.Form], form: str | None = None) -> DataFrame:
@@ -29,8 +29,9 @@ def process_specs(lines: DataFrame, specs: list[extract.FieldSpec], min_confiden
     return validate.validate_fields(fields, extract.spec_table(lines.sparkSession, specs), min_confidence)
 
 
-def comply(documents: DataFrame, facts: DataFrame, catalogue: rules.Catalogue) -> DataFrame:
-    """A compliance report row per document."""
+def comply(documents: DataFrame, facts: DataFrame, catalogue: rules.Catalogue | None = None) -> DataFrame:
+    """A compliance report row per document, by the shipped rules unless others are given."""
+    catalogue = catalogue or shipped.catalogue()
     return rules.rollup(documents, rules.check(documents, facts, catalogue))
 
 

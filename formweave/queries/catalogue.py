@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import contact, dates, fuzzy, geometry, numbers, text
-from ..operators import evaluation, extract, forms, layout, recognise, rules, validate
+from ..operators import evaluation, extract, forms, layout, recognise, rules, shipped, validate
 from ..operators.forms import Form, TextRule
 from ..operators.rules import Catalogue, Rule
 from ..schema import PAGES
@@ -469,6 +469,38 @@ for _id in ("order.sum", "order.product", "order.within", "order.ship", "order.y
     _one(_id)
 
 
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 2 = 0 AS fund FROM orders),
+r AS (SELECT k AS doc_id, 'eform92.charter_capital' AS rule_id, CASE k % 8 WHEN 0 THEN 'violation' WHEN 2 THEN 'skipped' ELSE 'pass' END AS status FROM o WHERE fund
+UNION ALL SELECT k, 'eform92.lot_reconciliation', CASE WHEN k % 3 = 0 THEN 'violation' ELSE 'pass' END FROM o WHERE fund
+UNION ALL SELECT k, 'eform92.offering_after_license', CASE WHEN k % 5 = 0 THEN 'violation' ELSE 'pass' END FROM o WHERE fund
+UNION ALL SELECT k, 'eform7.' || x, CASE WHEN x IN ('outstanding_reconciliation', 'raised_reconciliation') THEN CASE WHEN (k % 3 = 0) = (x = 'raised_reconciliation') THEN 'violation' ELSE 'pass' END
+  WHEN x = 'guarantee_covers_offer' THEN CASE WHEN k % 5 = 0 THEN 'violation' ELSE 'pass' END ELSE 'skipped' END
+  FROM o, unnest(['offer_face_value', 'secured_covers_offer', 'guarantee_covers_offer', 'collateral_covers_secured', 'outstanding_reconciliation', 'raised_reconciliation', 'report_after_certificate_change']) AS t(x) WHERE NOT fund)
+SELECT * FROM r
+""")
+def shipped_rules(t):
+    """Checks of the shipped catalogue: even orders stand as documents of one form, odd ones of another."""
+    k, u, fund, cents = F.col("k"), F.col("u"), F.col("k") % 2 == 0, lambda c: c.cast("string")
+    o = t("orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") + 1).alias("u"), F.col("o_orderdate").cast("date").alias("day"))
+    form, day = F.when(fund, "eform92").otherwise("eform7"), lambda c: F.date_format(c, "dd/MM/yyyy")
+    even = {
+        "charter_capital": cents(F.when(k % 8 == 2, F.lit(None)).when(k % 8 == 0, u * 2000).otherwise(u * 1000)), "fund_units": cents(u), "unit_par_value": F.lit("1.000"),
+        "lots": cents(u), "units_per_lot": F.when(k % 3 == 0, "2").otherwise("1"),
+        "license_date": day(F.col("day")), "offering_certificate_date": day(F.when(k % 5 == 0, F.date_sub("day", 1)).otherwise(F.date_add("day", 1))),
+    }
+    odd = {
+        "outstanding_total": cents(F.when(k % 3 == 0, u * 3).otherwise(u * 4)), "outstanding_public": cents(u), "outstanding_private": cents(u * 2),
+        "raised_total": cents(F.when(k % 3 == 0, u * 4).otherwise(u * 3)), "raised_public": cents(u), "raised_private": cents(u * 2),
+        "offer_total": cents(u * 10), "guarantee_value": cents(F.when(k % 5 == 0, u * 9).otherwise(u * 10)),
+    }
+    entry = lambda name, f: [F.struct(F.lit(f"AzzBzz{shipped.KEYS[name][a]}").alias("key"), v.alias("value")) for a, v in f.items()]
+    pairs = F.when(fund, F.array(*entry("eform92", even))).otherwise(F.array(*entry("eform7", odd)))
+    docs = o.select("k", "u", "day", k.alias("doc_id"), form.alias("form_id"))
+    facts = docs.select("doc_id", "form_id", F.explode(pairs).alias("p")).select("doc_id", "form_id", "p.*", F.when(F.col("p.value").isNull(), "null").otherwise("string").alias("kind"))
+    return rules.check(docs.select("doc_id", "form_id"), facts, shipped.catalogue()).select("doc_id", "rule_id", "status")
+
+
 @query("""
 WITH k AS (SELECT n_nationkey AS doc_id, unnest(['AzzNamezzValue', 'BzzNamezzValue', 'CodezzValue', 'Exact']) AS key, n_name AS value FROM nation)
 SELECT doc_id, 'code' AS alias, key, value FROM k WHERE key = 'CodezzValue' UNION ALL SELECT doc_id, 'exact', key, value FROM k WHERE key = 'Exact'

@@ -1,9 +1,11 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from formweave.operators import evaluation, extract, forms, images, layout, recognise, rules
+from formweave.operators import evaluation, extract, forms, images, layout, recognise, rules, shipped
+from formweave.plans import documents
 from formweave.queries import ORACLES, QUERIES
 from formweave.schema import LINES, PAGES, WORDS
 
@@ -121,6 +123,21 @@ def test_rules(spark):
     assert report(_values(spark, [("par", None)])).n_skipped == 1
 
 
+def test_shipped_catalogue(spark):
+    c = shipped.catalogue()
+    assert len(c.rules) == 41 and len({r.id for r in c.rules}) == 41 and {r.operation for r in c.rules} == set(rules.OPERATIONS)
+    assert all(a in c.selectors[r.form_type] for r in c.rules for a in (*r.operands, *filter(None, [r.mutation_alias])))
+    span = next(r for r in c.rules if r.id == "eform94.old_duration")
+    assert (span.operands, span.title, span.tolerance_days) == (("old_start", "old_end", "duration_before"), "old start .. old end = duration before", 1)
+    assert [r.id for r in c.rules if not r.eval_mutation] == ["eform100.document_after_bank_license", "eform100.document_after_custody_certificate"]
+    with pytest.raises(ValueError):
+        shipped.parse_rule("f", "x: a >> b")
+    facts = spark.createDataFrame([("d", "eform85", f"Form zz{shipped.KEYS['eform85'][a]}", v, "string") for a, v in {"birth_date": "1980-02-03", "id_date": "03/02/1980", "certificate_date": "1979-12-31"}.items()], "doc_id string, form_id string, key string, value string, kind string")
+    docs = spark.createDataFrame([("d", "eform85"), ("e", "unheard of")], "doc_id string, form_id string")
+    got = {r.doc_id: r for r in documents.comply(docs, facts).collect()}
+    assert (got["d"].n_pass, got["d"].n_violation, got["d"].overall, got["e"].overall) == (1, 1, "non_compliant", "not_assessed")
+
+
 def test_mutations(spark):
     v = rules.values_of(_values(spark), CATALOGUE)
     s = rules.mutation_score(rules.mutation_benchmark(v, rules.rule_table(spark, CATALOGUE))).first()
