@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.png import decode_png, encode_png
+from ..schema import PAGES
 
 def decode(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     a = np.frombuffer(data, np.uint8)
@@ -244,6 +246,55 @@ def preprocess(pages: DataFrame, steps: tuple[str, ...] = SCAN) -> DataFrame:
     return pages.mapInPandas(run, pages.schema)
 
 
+def from_files(files: DataFrame) -> DataFrame:
+    """Pages of ``files(path, content)`` that are PNG; the image of another or a damaged file is null and its sizes 0."""
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for path, content in zip(f.path, f.content):
+                try:
+                    a = decode_png(content)
+                    rows.append((path, 0, 72, a.shape[1], a.shape[0], 1 if a.ndim == 2 else 3, a.tobytes()))
+                except ValueError:
+                    rows.append((path, 0, 72, 0, 0, 0, None))
+            yield pd.DataFrame(rows, columns=["source", "page_index", "dpi", "width", "height", "channels", "image"])
+
+    return files.select("path", "content").mapInPandas(run, PAGES)
+
+
+def to_files(pages: DataFrame) -> DataFrame:
+    """``(source, page_index, content)``: PNG files of pages; null without an image."""
+
+    @F.pandas_udf("binary")
+    def png(img: pd.Series, h: pd.Series, w: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([None if x[0] is None else encode_png(decode(*x)) for x in zip(img, h, w, c)], dtype=object)
+
+    return pages.select("source", "page_index", png("image", "height", "width", "channels").alias("content"))
+
+
+def overlay(pages: DataFrame, lines: DataFrame, colour: tuple[int, int, int] = (0, 200, 0), thick: int = 2) -> DataFrame:
+    """Pages in colour with a frame around each of their lines; a page's lines are one small group."""
+    boxes = lines.groupBy(F.col("doc_id").alias("source"), "page_index").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("boxes"))
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for r in f.to_dict("records"):
+                found = r.pop("boxes")
+                if r["image"] is not None:
+                    a = to_bgr(decode(r["image"], r["height"], r["width"], r["channels"])).copy()
+                    for b in found if found is not None else ():
+                        x1, y1, x2, y2 = (max(0, round(b[k])) for k in ("x1", "y1", "x2", "y2"))
+                        for part in (np.s_[y1 : y1 + thick, x1:x2], np.s_[max(y1, y2 - thick) : y2, x1:x2], np.s_[y1:y2, x1 : x1 + thick], np.s_[y1:y2, max(x1, x2 - thick) : x2]):
+                            a[part] = colour
+                    r |= {"image": a.tobytes(), "channels": 3}
+                rows.append(r)
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in PAGES.split(", ")])
+
+    return pages.join(boxes, ["source", "page_index"], "left").select(*[x.split()[0] for x in PAGES.split(", ")], "boxes").mapInPandas(run, PAGES)
+
+
 def ink(pages: DataFrame) -> DataFrame:
     """``(source, page_index, ink)``: the share of dark pixels."""
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from formweave.functions import png
 from formweave.operators import evaluation, extract, forms, images, layout, recognise, rules, shipped
 from formweave.plans import documents
 from formweave.queries import ORACLES, QUERIES
@@ -172,6 +173,33 @@ def test_images():
     assert images.ticked(box, found)
 
 
+def test_png(spark):
+    rng = np.random.default_rng(3)
+    for shape in ((1, 1), (17, 23), (9, 14, 3)):
+        img = rng.integers(0, 256, shape, dtype=np.uint8)
+        assert np.array_equal(png.decode_png(png.encode_png(img)), img)
+    # Filters against a plain loop over the bytes.
+    x, kinds, n = rng.integers(0, 256, (10, 7, 3), dtype=np.uint8), np.arange(10) % 5, 3
+    done = [[0] * 21]
+    for kind, row in zip(kinds, x.reshape(10, 21).tolist()):
+        out = []
+        for i, v in enumerate(row):
+            a, b, c = (out[i - n] if i >= n else 0), done[-1][i], (done[-1][i - n] if i >= n else 0)
+            paeth = min((a, b, c), key=lambda q: abs(a + b - c - q))
+            out.append((v + (0, a, b, (a + b) // 2, paeth)[kind]) % 256)
+        done.append(out)
+    assert png._unfilter(kinds.astype(np.uint8), x).reshape(10, 21).tolist() == done[1:]
+    for bad in (b"", b"no image", png.encode_png(img)[:40]):
+        with pytest.raises(ValueError):
+            png.decode_png(bad)
+    page = np.full((30, 40), 255, np.uint8)
+    pages = spark.createDataFrame([("d", 0, 72, 40, 30, 1, page.tobytes()), ("e", 0, 72, 0, 0, 0, None)], PAGES)
+    got = {r.source: r for r in images.overlay(pages, lines(spark, ("x", (5, 5, 20, 15)))).collect()}
+    drawn = images.decode(got["d"].image, 30, 40, 3)
+    assert (drawn != 255).any(2).sum() == 15 * 10 - 11 * 6 and got["e"].image is None
+    assert {r.source: r.content is None for r in images.to_files(pages).collect()} == {"d": False, "e": True}
+
+
 def test_marks(spark):
     page = np.full((120, 200), 255, np.uint8)
     page[20:32, 30:42] = 0
