@@ -57,15 +57,24 @@ class TokenizersEncoder:
         # The shortcut is that of the byte-level splitter's own expression, without a space put in front.
         plain = plain and pattern == WORDS and before.use_regex and not before.add_prefix_space
         tokenize, chars = self.tok.model.tokenize, self._byte_chars()
-        engine = (lambda t: [x.id for x in tokenize(t.encode().decode("latin-1").translate(chars))]) if plain else self.whole
+        space = chars[32]
+
+        def shown(t: str) -> str:
+            # Most pre-tokens are a space and ASCII letters, of which only the space has another character.
+            if t.isascii() and t[:1] == " " and t[1:].isalpha():
+                return space + t[1:]
+            return t.encode().decode("latin-1").translate(chars)
+
+        engine = (lambda t: [x.id for x in tokenize(shown(t))]) if plain else self.whole
         self.cut = PretokenEncoder(pattern, engine) if plain else None
 
     @staticmethod
-    def _byte_chars() -> dict[int, str]:
-        """The byte-level alphabet: printable bytes stand for themselves, the rest follow from 256 on."""
+    def _byte_chars() -> str:
+        """The byte-level alphabet, by byte: printable bytes stand for themselves, the rest follow from 256 on."""
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in shown]
-        return {b: chr(256 + k) for k, b in enumerate(hidden)}
+        after = {b: 256 + k for k, b in enumerate(hidden)}
+        return "".join(chr(after.get(b, b)) for b in range(256))
 
     @classmethod
     def at(cls, path: str, pattern: str) -> "TokenizersEncoder":
