@@ -1,7 +1,8 @@
 """Operator 6: fuzzy line deduplication.
 
 Lines are normalised (lower case, words joined by single spaces) and get a 64-bit SimHash of their
-words; hash and SimHash together name a node, and equal lines are one. Nodes are dealt by pigeonhole
+words, with ``banded`` of their distinct words: the words that every long line repeats would make
+long lines of one language alike. Hash and SimHash together name a node, and equal lines are one. Nodes are dealt by pigeonhole
 blocks: with radius r, two fingerprints within r bits agree in one of r + 1 blocks. A changed word
 moves a short line's fingerprint further than that, so with ``banded`` nodes are also dealt by bands
 of minimum hashes: of the words of ``LONG`` bytes or more (all words where there are none), and for
@@ -39,7 +40,7 @@ WORD_BANDS, WORD_ROWS, PIECE_BANDS, PIECE_ROWS = 6, 3, 12, 5
 #: Bytes of the words that count, least bytes of a line with bands of words, most of one with bands of pieces.
 LONG, WORDY, BRIEF = 5, 32, 64
 #: Differing bits beyond which a shared band of words makes no candidate.
-LOOSE = 14
+LOOSE = 20
 #: Base of the classes of length, of which there are 256.
 CLASS = 1.05
 #: Rows of a bucket that are compared in one piece.
@@ -94,6 +95,20 @@ def simhash(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarr
     return np.packbits(ones * 2 > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def distinct_simhash(hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``simhash`` of the distinct words of consecutive lines of ``size`` words."""
+    out, end = [], np.cumsum(size)
+    for low in range(0, len(size), 1 << 20):
+        n = size[low : low + (1 << 20)]
+        # A line's number, then 44 bits of the word: they are enough to tell words apart, and spread anew give its hash.
+        words = np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(44), n) | hashes[end[low] - size[low] : end[low + len(n) - 1]] >> np.uint64(20)
+        words.sort()
+        words = words[np.append(True, words[1:] != words[:-1])]
+        left = np.bincount((words >> np.uint64(44)).astype(np.int64), minlength=len(n))
+        out.append(simhash(_mix(words & np.uint64((1 << 44) - 1)), np.cumsum(left) - left, left))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def line_prints(text: str) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """``(line_no, norm, sh)`` of the lines of a text that have a word: normalised in UTF-8, with its fingerprint."""
     line, norms, hashes, first, size, _ = _line_words(text)
@@ -359,15 +374,22 @@ def _distances(pairs: list[tuple[str, str]], sizes: np.ndarray, blocks: int, mos
 
 
 def _word_bound(a: str, b: str, most: int) -> int:
-    return _words_apart(a.split(" "), b.split(" "), most)
+    return _words_apart(_split(a), _split(b), most)
+
 
+def _split(text: str) -> tuple[list[str], list[str]]:
+    """The words of a text, and each with the next."""
+    words = text.split(" ")
+    return words, [*map("%s %s".__mod__, zip(words, words[1:])), words[-1]]
 
-def _words_apart(x: list[str], y: list[str], most: int, reach: int = 8, stride: int = 16) -> int:
+
+def _words_apart(a: tuple[list[str], list[str]], b: tuple[list[str], list[str]], most: int, reach: int = 8, stride: int = 16) -> int:
     """At least the Levenshtein distance of texts of these words: the cost of one alignment by words, given up beyond ``most``.
 
     Where words differ, the nearest place at which the next two agree again is looked for within
     ``reach`` words; what lies between is replaced as a whole.
     """
+    (x, x2), (y, y2) = a, b
     i, j, cost, m, n = 0, 0, 0, len(x), len(y)
     while i < m and j < n:
         while i + stride <= m and x[i : i + stride] == y[j : j + stride]:
@@ -378,11 +400,12 @@ def _words_apart(x: list[str], y: list[str], most: int, reach: int = 8, stride:
             i, j = i + 1, j + 1
             continue
         p = q = 1
-        for skip in range(1, reach + 1):
-            at = next((k for k in range(skip + 1) if x[i + k : i + k + 2] == y[j + skip - k : j + skip - k + 2] != []), None)
-            if at is not None:
-                p, q = at, skip - at
+        least, ahead = reach + 1, y2[j : j + reach + 1]
+        for k, two in enumerate(x2[i : i + reach + 1]):
+            if k >= least:
                 break
+            if two in ahead and k + (at := ahead.index(two)) < least:
+                p, q, least = k, at, k + at
         cost += max(sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + q])) + q)
         if cost > most:
             return cost
@@ -413,7 +436,7 @@ def _occurrences(docs: DataFrame, banded: bool) -> DataFrame:
             for text, rows, numbers in _chunks(b.column(2).to_pylist()):
                 line, norms, hashes, first, size, width = _line_words(text)
                 if len(line):
-                    sh = simhash(hashes, first, size)
+                    sh = distinct_simhash(hashes, size) if banded else simhash(hashes, first, size)
                     at = pa.array(rows[line])
                     keys = np.fromiter(map(line_key, norms), np.uint64, len(norms)).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
@@ -553,6 +576,24 @@ def _bag(norms: pa.Array) -> np.ndarray:
     return np.bincount(cell, minlength=len(chars) * 32).reshape(-1, 32).astype(np.int32)
 
 
+def _word_bag(norms: pa.Array) -> np.ndarray:
+    """How many bytes the words of each of 64 kinds take in the texts, a space with each."""
+    _, _, hashes, _, size, width = _line_words("\n".join(norms.to_pylist()))
+    cell = np.repeat(np.arange(len(size)) * 64, size) + (hashes & np.uint64(63)).astype(np.int64)
+    return np.bincount(cell, width + 1, minlength=len(size) * 64).reshape(-1, 64).astype(np.int32)
+
+
+def _alignable(words: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which pairs an alignment by words may be near enough for: it costs at least what one bag of words has more than
+    the other, in bytes, which are taken to be a quarter more than characters at most. The other pairs need a distance."""
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), 1 << 14):
+        part = np.s_[at : at + (1 << 14)]
+        apart = words[i[part]] - words[j[part]]
+        out[part] = np.maximum(np.maximum(apart, 0).sum(1), np.maximum(-apart, 0).sum(1)) <= 1.25 * most[part]
+    return out
+
+
 def _bags_fit(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     """Which pairs the similarity isn't ruled out for: the distance is at least what one bag has more than the other."""
     least = np.maximum(np.maximum(a - b, 0).sum(1), np.maximum(b - a, 0).sum(1))
@@ -627,7 +668,8 @@ def _tiled(docs: DataFrame, lines: DataFrame, banded: bool) -> DataFrame:
 
     def tiled(norms, fields):
         _, held, hashes, first, words, width = _line_words("\n".join(norms))
-        sh, band = simhash(hashes, first, words).view(np.int64), _bands(held, hashes, words, width) if banded else None
+        sh, band = (distinct_simhash(hashes, words), _bands(held, hashes, words, width)) if banded else (simhash(hashes, first, words), None)
+        sh = sh.view(np.int64)
         at = fields.field("at")
         of = np.repeat(np.arange(len(norms)), pc.list_value_length(at).to_numpy())
         tiles = at.flatten()
@@ -697,6 +739,7 @@ def _verified(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
                 continue
             number, side, key, norm = b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(6)
             sh, chars, bags = b.column(4).to_numpy().view(np.uint64), pc.utf8_length(norm).to_numpy(), _bag(norm)
+            words = _word_bag(norm)
             # Bands that a tile doesn't ask for are unlike any other row's.
             band = np.full((b.num_rows, WORD_BANDS + PIECE_BANDS), np.arange(b.num_rows)[:, None] + (1 << 32), np.uint64)
             band[np.arange(band.shape[1]) < number[:, None] - 8] = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint32)
@@ -720,30 +763,42 @@ def _verified(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
                 return out
 
             ids, texts, found = [k << 64 | s for k, s in zip(key.tolist(), sh.tolist())], norm.to_pylist(), []
-            split: dict[int, list[str]] = {}
+            split: dict[int, tuple[list[str], list[str]]] = {}
+
+            def wait(x, y):
+                nonlocal found, unsure, waits
+                unsure.append((ids[x], ids[y], texts[x], texts[y]))
+                waits += max(len(texts[x]), len(texts[y]))
+                if waits >= UNSURE:
+                    found += decided(unsure)
+                    unsure, waits = [], 0
+
             group = np.unique(np.array([hash(root(x)) for x in ids]), return_inverse=True)[1]
             for i, j in _pairs(size, fit):
+                hope = _alignable(words, i, j, _most(np.maximum(chars[i], chars[j]), similarity))
+                later = i[~hope], j[~hope]
+                i, j = i[hope], j[hope]
                 order = np.lexsort((j, i))
                 i, j = i[order], j[order]
                 begin = np.flatnonzero(np.diff(i, prepend=-1))
-                for x, js in zip(i[begin].tolist(), np.split(j, begin[1:])):
+                for x, js in zip(i[begin].tolist(), np.split(j, begin[1:])) if len(i) else ():
                     for y in js[group[js] != group[x]].tolist():
                         p, q = root(ids[x]), root(ids[y])
                         if p == q:
                             continue
                         longer = max(len(texts[x]), len(texts[y]))
                         most = longer - math.ceil(similarity * longer)
-                        a, b_ = (split.get(k) or split.setdefault(k, texts[k].split(" ")) for k in (x, y))
+                        a, b_ = (split.get(k) or split.setdefault(k, _split(texts[k])) for k in (x, y))
                         if _words_apart(a, b_, most) <= most:
                             up[max(p, q)] = min(p, q)
                             group[group == group[y]] = group[x]
                             found.append((ids[x], ids[y]))
                         else:
-                            unsure.append((ids[x], ids[y], texts[x], texts[y]))
-                            waits += longer
-                            if waits >= UNSURE:
-                                found += decided(unsure)
-                                unsure, waits = [], 0
+                            wait(x, y)
+                apart = group[later[0]] != group[later[1]]
+                for x, y in zip(later[0][apart].tolist(), later[1][apart].tolist()):
+                    if root(ids[x]) != root(ids[y]):
+                        wait(x, y)
             if found:
                 yield links(found)
         if found := decided(unsure):

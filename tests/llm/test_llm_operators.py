@@ -282,6 +282,23 @@ def test_lines_with_changed_words(spark):
     assert {r.doc_id for r in got if r.text} == set(range(30))
 
 
+def test_long_lines_of_common_words(spark):
+    """Long lines that share but their frequent words are no candidates, and each distinct word counts once."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    common = [word() for _ in range(6)]
+    lines = [" ".join(rng.choice(common) if rng.random() < 0.8 else word() for _ in range(300)) for _ in range(60)]
+    near = lambda fps: sum((fps[a] ^ fps[b]).bit_count() <= 3 for a in range(60) for b in range(a))
+    assert near([line_fingerprint(x) for x in lines]) > 20
+    rows = {r.doc_id: r.sh % (1 << 64) for r in line_dedup._occurrences(frame(spark, list(enumerate(lines))), True).collect()}
+    assert near(rows) == 0
+    again = [x + " " + " ".join(rng.choice(x.split()) for _ in range(50)) for x in lines]
+    assert {r.doc_id: r.sh % (1 << 64) for r in line_dedup._occurrences(frame(spark, list(enumerate(again))), True).collect()} == rows
+    some = [[rng.choice("abc") + str(rng.randrange(40)) for _ in range(rng.randrange(1, 60))] for _ in range(200)]
+    alignment = [(" ".join(a), " ".join(b)) for a, b in zip(some, [a[:20] + b[:5] + a[22:] for a, b in zip(some, some[1:])])]
+    assert all(line_dedup.edit_distance(a, b) <= line_dedup._word_bound(a, b, 10**6) for a, b in alignment)
+
+
 def test_distances_together():
     rng = random.Random(1)
     pairs = []
