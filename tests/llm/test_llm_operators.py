@@ -433,3 +433,11 @@ def test_license(spark):
     assert got[0, 1].family == "mit" and got[0, 1].confirmed
     assert (3, 0) not in got and got[4, 0].family == "unknown" and not got[4, 0].confirmed
     assert license_scan.scan(frame(spark, [])).count() == 0
+
+
+def test_license_without_stem(spark):
+    rows = [(0, "Foo bar.\nDistributed under the GPL v3."), (1, "CC BY-SA 4.0"), (2, "Chenein mit dem enauzu heitgete."), (3, "An \u00e8le."), (4, "Free software under the MIT license."), (5, None)]
+    whole, gated = ({(r.doc_id, r.para_no): r for r in license_scan.scan(frame(spark, rows), gated=g).collect()} for g in (False, True))
+    assert {k: whole[k].family for k in whole} == {(0, 1): "gpl-3.0", (1, 0): "cc-by-sa-4.0", (4, 0): "mit"}
+    assert whole[0, 1].confirmed and whole[1, 0].confirmed
+    assert set(gated) == {(4, 0)} and gated[4, 0] == whole[4, 0]
