@@ -53,15 +53,17 @@ _MARKS = frozenset(".,;:!?")
 class PretokenEncoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers.
 
-    ``engine(pre_token) -> list of ids`` is called for pre-tokens that aren't remembered.
+    ``engine(pre_token) -> list of ids`` is called for pre-tokens that aren't remembered; for one of a space and
+    letters ``word(letters) -> ids in bytes``, if given.
     """
 
-    def __init__(self, pattern: str, engine, pretokens: int = 100_000, pieces: int = 250_000):
+    def __init__(self, pattern: str, engine, pretokens: int = 100_000, pieces: int = 250_000, word=None):
         cut = regex.compile(pattern)
         self.each = lambda text: (m.group() for m in cut.finditer(text))
         self.find = self.each if cut.groups else cut.findall
         self.known = pattern == WORDS
         self.ids = lambda t: array("I", engine(t)).tobytes()
+        self.word = word or (lambda t: self.ids(" " + t))
         self.tokens = _Memo(self.ids, pretokens)
         self.pieces = _Memo(self._piece, pieces)
 
@@ -71,7 +73,7 @@ class PretokenEncoder:
 
     def _piece(self, piece: str) -> bytes:
         if piece.isalpha():
-            return self.ids(" " + piece)
+            return self.word(piece)
         if piece[-1:] in _MARKS and piece[:-1].isalpha():
             return self.pieces[piece[:-1]] + self.tokens[piece[-1]]
         if not piece or piece[0].isspace() or piece[-1].isspace():

@@ -60,13 +60,13 @@ class TokenizersEncoder:
         space = chars[32]
 
         def shown(t: str) -> str:
-            # Most pre-tokens are a space and ASCII letters, of which only the space has another character.
-            if t.isascii() and t[:1] == " " and t[1:].isalpha():
-                return space + t[1:]
             return t.encode().decode("latin-1").translate(chars)
 
-        engine = (lambda t: [x.id for x in tokenize(shown(t))]) if plain else self.whole
-        self.cut = PretokenEncoder(pattern, engine) if plain else None
+        def word(t: str) -> bytes:
+            # Of a space and ASCII letters, only the space has another character.
+            return array("I", [x.id for x in tokenize(space + (t if t.isascii() else shown(t)))]).tobytes()
+
+        self.cut = PretokenEncoder(pattern, lambda t: [x.id for x in tokenize(shown(t))], word=word) if plain else None
 
     @staticmethod
     def _byte_chars() -> str:
@@ -114,6 +114,8 @@ class Shard:
     """Reader of a shard: the table first, then only the frames asked for."""
 
     def __init__(self, uri: str):
+        import zstandard
+
         fs, path = pafs.FileSystem.from_uri(uri)
         size = fs.get_file_info(path).size
         self.file = fs.open_input_file(path)
@@ -123,15 +125,14 @@ class Shard:
         self.table = np.frombuffer(self.file.read_at(12 * n, size - 9 - 12 * n), "<u4").reshape(n, 3)
         self.at = np.concatenate([[0], np.cumsum(self.table[:, 0].astype(np.int64))])
         self.ids = np.frombuffer(self.file.read_at(8 * (n - 1), int(self.at[n - 1]) + 8), "<i8")
+        self.unzip = zstandard.ZstdDecompressor()
         #: Ids before each document in this shard.
         self.start = np.concatenate([[0], np.cumsum(self.table[: n - 1, 1].astype(np.int64) // 4)])
 
     def frame(self, k: int) -> bytes:
         """The ids of the k-th document; ValueError where the checksum differs."""
-        import zstandard
-
         raw = self.file.read_at(int(self.table[k, 0]), int(self.at[k]))
-        data = zstandard.ZstdDecompressor().decompress(raw, max_output_size=max(1, int(self.table[k, 1])))
+        data = self.unzip.decompress(raw, max_output_size=max(1, int(self.table[k, 1])))
         if xxhash.xxh64_intdigest(data) & 0xFFFFFFFF != int(self.table[k, 2]):
             raise ValueError(f"frame {k} is damaged")
         return data

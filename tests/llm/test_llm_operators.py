@@ -441,3 +441,17 @@ def test_license_without_stem(spark):
     assert {k: whole[k].family for k in whole} == {(0, 1): "gpl-3.0", (1, 0): "cc-by-sa-4.0", (4, 0): "mit"}
     assert whole[0, 1].confirmed and whole[1, 0].confirmed
     assert set(gated) == {(4, 0)} and gated[4, 0] == whole[4, 0]
+
+
+def test_words_by_a_call_of_their_own():
+    from tokenizers import Tokenizer
+
+    from formweave.llm.pretoken import PretokenEncoder
+
+    asked = []
+    cut = PretokenEncoder(public_tokenizers.PATTERN, lambda t: [*t.encode()], word=lambda t: asked.append(t) or np.array([*(" " + t).encode()], "<u4").tobytes())
+    text = "One two \u00e9t\u00e9, two x1 \u00e9t\u00e9."
+    assert np.frombuffer(cut.encode(text), "<u4").tolist() == [*text.encode()]
+    assert asked == ["two", "\u00e9t\u00e9"]
+    enc, tok = token_files.TokenizersEncoder(PLAIN, public_tokenizers.PATTERN), Tokenizer.from_file(PLAIN)
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
