@@ -252,9 +252,17 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     full, top = (1 << len(a)) - 1, 1 << len(a) - 1
     up, down, score = full, 0, len(a)
     over = math.inf if most is None else most + len(b)
+    step, size = max(64, len(b) // 16), -(-len(a) // 8)
+    rest = np.arange(len(a), -1, -1)
     for at, c in enumerate(b):
         if score + at > over:
             return score + at - len(b)
+        if most is not None and at and not at % step:
+            # Every alignment passes this column, and then costs at least what one rest is longer than the other.
+            rise, fall = (np.unpackbits(np.frombuffer(v.to_bytes(size, "little"), np.uint8), count=len(a), bitorder="little").view(np.int8) for v in (up, down))
+            least = at + np.append(0, np.cumsum(rise - fall, dtype=np.int64)) + np.abs(rest - (len(b) - at))
+            if least.min() > most:
+                return int(least.min())
         eq = where.get(c, 0)
         x = (((eq & up) + up) ^ up) | eq | down
         ph, mh = down | ~(x | up) & full, up & x
@@ -578,9 +586,12 @@ def _bag(norms: pa.Array) -> np.ndarray:
 
 def _word_bag(norms: pa.Array) -> np.ndarray:
     """How many bytes the words of each of 64 kinds take in the texts, a space with each."""
-    _, _, hashes, _, size, width = _line_words("\n".join(norms.to_pylist()))
-    cell = np.repeat(np.arange(len(size)) * 64, size) + (hashes & np.uint64(63)).astype(np.int64)
-    return np.bincount(cell, width + 1, minlength=len(size) * 64).reshape(-1, 64).astype(np.int32)
+    out = [np.zeros((0, 64), np.int32)]
+    for text, _, _ in _chunks(norms.to_pylist()):
+        _, _, hashes, _, size, width = _line_words(text)
+        cell = np.repeat(np.arange(len(size)) * 64, size) + (hashes & np.uint64(63)).astype(np.int64)
+        out.append(np.bincount(cell, width + 1, minlength=len(size) * 64).reshape(-1, 64).astype(np.int32))
+    return np.concatenate(out)
 
 
 def _alignable(words: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:

@@ -455,3 +455,34 @@ def test_words_by_a_call_of_their_own():
     assert asked == ["two", "\u00e9t\u00e9"]
     enc, tok = token_files.TokenizersEncoder(PLAIN, public_tokenizers.PATTERN), Tokenizer.from_file(PLAIN)
     assert np.frombuffer(enc.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_word_bags_of_bounded_texts(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    lines = [" ".join("".join(rng.choice("ab\u00e9") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 40))) for _ in range(300)]
+    want, rooms, powers = line_dedup._word_bag(pa.array(lines)), [], line_dedup._powers
+    monkeypatch.setattr(line_dedup, "CHUNK", 1000)
+    monkeypatch.setattr(line_dedup, "_line_words", lambda text, plain=line_dedup._line_words: rooms.append(len(text)) or plain(text))
+    assert (line_dedup._word_bag(pa.array(lines)) == want).all() and len(want) == 300
+    assert max(rooms) < 1000 + max(map(len, lines)) + 1
+
+
+def test_distance_of_unlike_texts_stops():
+    rng = random.Random(4)
+
+    def full(a, b):
+        row = [*range(len(b) + 1)]
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    for k in range(60):
+        a = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 400)))
+        b = "".join(rng.choice("abcd") if rng.random() < 0.02 * (k % 20) else c for c in a) + "x" * rng.randrange(30) if k % 3 else "".join(rng.choice("abcd") for _ in range(300))
+        most, true = rng.randrange(1, 100), full(a, b)
+        got = line_dedup.edit_distance(a, b, most)
+        assert (got <= most) == (true <= most) and (got <= most or got <= true)
