@@ -486,3 +486,17 @@ def test_distance_of_unlike_texts_stops():
         most, true = rng.randrange(1, 100), full(a, b)
         got = line_dedup.edit_distance(a, b, most)
         assert (got <= most) == (true <= most) and (got <= most or got <= true)
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    from formweave.llm.common import CLEANUP, Scratch
+
+    def files():
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {f for f in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+    before, conf = files(), spark.conf.get(CLEANUP, None)
+    rows = spark.range(1000).repartition(3).groupBy("id").count()
+    got = Scratch(spark, "test").cut(rows)
+    assert not files() - before
+    assert got.count() == 1000 and spark.conf.get(CLEANUP, None) == conf
