@@ -171,11 +171,12 @@ def _line_words(text: str) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndar
     size = np.diff(np.append(first, len(s)))
     line = np.flatnonzero(size)
     first, size = first[line], size[line]
-    keep = word | before
-    at = np.cumsum(keep) - 1
-    data = np.where(word, b, np.uint8(32))[keep].tobytes()
-    norms = [data[i:j] for i, j in zip(at[s[first]].tolist(), (at[e[first + size - 1]] + 1).tolist())]
-    return line, norms, hashes, first, size, e - s + 1
+    # What is kept: words, and one byte behind each.
+    width = e - s + 1
+    end = np.cumsum(width + 1) - 1
+    data = np.where(word, b, np.uint8(32))[word | before].tobytes()
+    norms = [data[i:j] for i, j in zip((end - width)[first].tolist(), end[first + size - 1].tolist())]
+    return line, norms, hashes, first, size, width
 
 
 #: Columns of a line by which it is dealt: its characters, and two bands of words or of pieces to a number.
@@ -195,7 +196,13 @@ def _dealt_by(norms: list[bytes], hashes: np.ndarray, size: np.ndarray, width: n
 
 
 def _chars(norms: list[bytes]) -> np.ndarray:
-    return np.fromiter((len(x) if x.isascii() else len(x.decode()) for x in norms), np.int64, len(norms))
+    """Characters of texts in UTF-8 that aren't empty."""
+    size = np.fromiter(map(len, norms), np.int64, len(norms))
+    data = b"".join(norms)
+    if data.isascii():
+        return size
+    # Of a character's bytes, the first isn't 10xxxxxx.
+    return np.add.reduceat((np.frombuffer(data, np.uint8) & 0xC0) != 0x80, np.cumsum(size) - size, dtype=np.int64)
 
 
 def _chunks(texts: list[str | None]):
@@ -275,6 +282,8 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
 
 #: Pairs for each block of 64 characters from which on distances are reckoned together, and numbers in a table of them at most.
 TOGETHER, TABLE = 20, 1 << 20
+#: Of fewer pairs: characters from which on a first text is worked on by itself, and bits of a number for the others.
+ALONE, NUMBER = 1 << 12, 1 << 14
 
 
 def within(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
@@ -288,14 +297,14 @@ def within(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
     grid = [1]
     while grid[-1] * 64 < sizes[:, 0].max(initial=0):
         grid.append(grid[-1] + max(1, grid[-1] // 4))
-    blocks = np.array(grid)[np.searchsorted(np.array(grid) * 64, sizes[:, 0])]
+    blocks, few = np.array(grid)[np.searchsorted(np.array(grid) * 64, sizes[:, 0])], []
     for n in np.unique(blocks[~easy]).tolist():
         at = np.flatnonzero((blocks == n) & ~easy)
         while len(at):
             step = max(1, TABLE // (64 * n))
             part, at = at[:step], at[step:]
             if len(part) < TOGETHER * min(n, 2 * most[part].max() // 64 + 2):
-                out[part] = [edit_distance(*cut[k], int(most[k])) <= most[k] for k in part.tolist()]
+                few.append(part)
             else:
                 pads = (64 * n - sizes[part, :1]).ravel().tolist()
                 padded = [(cut[k][0] + "\0" * x, cut[k][1] + "\0" * x) for k, x in zip(part.tolist(), pads)]
@@ -303,9 +312,56 @@ def within(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
                 order = np.argsort([-sizes[k, 1] - x for k, x in zip(part.tolist(), pads)], kind="stable")
                 own = part[order]
                 out[own] = _distances(padded, np.array([tuple(map(len, p)) for p in padded], np.int64), n, most[own]) <= most[own]
+    few = np.concatenate(few) if few else np.zeros(0, np.int64)
+    alone = sizes[few, 0] > ALONE
+    out[few[alone]] = [edit_distance(*cut[k], int(most[k])) <= most[k] for k in few[alone].tolist()]
+    few = few[~alone]
+    few = few[np.argsort(sizes[few, 1], kind="stable")]
+    # Second texts are at most as long as twice the shortest of their number, so that little of a table is empty.
+    piece, class_ = np.cumsum(sizes[few, 1]) // NUMBER, np.frexp(sizes[few, 1].astype(float))[1]
+    for part in np.split(few, np.flatnonzero(np.diff(piece) | np.diff(class_)) + 1) if len(few) else ():
+        out[part] = _packed([cut[k] for k in part.tolist()]) <= most[part]
     return out
 
 
+def _packed(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Levenshtein distances of pairs of texts that aren't empty, shortest second texts first: Myers' bit vectors of all first texts in one whole number."""
+    most, begin, bits, full, low, columns = len(pairs[-1][1]), [], 0, 0, 0, []
+    for a, b in pairs:
+        own: dict[str, int] = {}
+        for i, c in enumerate(a):
+            own[c] = own.get(c, 0) | 1 << i
+        # Whole bytes, with a bit above the text that takes what an addition carries.
+        size = len(a) // 8 + 1
+        none = bytes(size)
+        masks = {c: v.to_bytes(size, "little") for c, v in own.items()}
+        columns.append([*(masks.get(c, none) for c in b), *[none] * (most - len(b))])
+        begin.append(bits)
+        full |= (1 << len(a)) - 1 << bits
+        low |= 1 << bits
+        bits += 8 * size
+    up, down, done, out = full, 0, 0, np.zeros(len(pairs), np.int64)
+    for t, column in enumerate(zip(*columns)):
+        while len(pairs[done][1]) == t:
+            out[done] = _rise(pairs[done], begin[done], up, down)
+            done += 1
+        eq = int.from_bytes(b"".join(column), "little")
+        x = (((eq & up) + up) ^ up) | eq | down
+        ph, mh = down | ~(x | up) & full, up & x
+        ph, mh = (ph << 1 | low) & full, mh << 1 & full
+        v = eq | down
+        up, down = mh | ~(v | ph) & full, ph & v
+    for k in range(done, len(pairs)):
+        out[k] = _rise(pairs[k], begin[k], up, down)
+    return out
+
+
+def _rise(pair: tuple[str, str], begin: int, up: int, down: int) -> int:
+    """The distance by the differences in the last column of a pair's table."""
+    mask = (1 << len(pair[0])) - 1
+    return len(pair[1]) + (up >> begin & mask).bit_count() - (down >> begin & mask).bit_count()
+
+
 def _strip(a: str, b: str) -> tuple[str, str]:
     """Two texts, the shorter first, without their common beginning and end."""
     for _ in range(2):
@@ -594,7 +650,21 @@ def _word_bag(norms: pa.Array) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _alignable(words: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+class _Lazy:
+    """Rows of numbers of texts, reckoned when they are first asked for."""
+
+    def __init__(self, norms: pa.Array, of, width: int):
+        self.norms, self.of = norms, of
+        self.values, self.known = np.zeros((len(norms), width), np.int32), np.zeros(len(norms), bool)
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        new = np.unique(rows[~self.known[rows]])
+        if len(new):
+            self.values[new], self.known[new] = self.of(self.norms.take(pa.array(new))), True
+        return self.values[rows]
+
+
+def _alignable(words: np.ndarray | _Lazy, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Which pairs an alignment by words may be near enough for: it costs at least what one bag of words has more than
     the other, in bytes, which are taken to be a quarter more than characters at most. The other pairs need a distance."""
     out = np.zeros(len(i), bool)
@@ -611,6 +681,23 @@ def _bags_fit(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     return least <= _most(np.maximum(a.sum(1), b.sum(1)), similarity)
 
 
+def _tile(run: np.ndarray, key: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """A number for the keys of each of consecutive runs, for each row: equal for runs of the same keys if both are of blocks or both of bands."""
+    start = np.flatnonzero(np.diff(run, prepend=-1))
+    total = np.add.reduceat(_mix(key.view(np.uint64)), start) ^ np.where(number[start] < 8, np.uint64(0), np.uint64(_BASE))
+    return np.repeat(_mix(total), np.diff(np.append(start, len(run))))
+
+
+def _wanted(marked: DataFrame) -> DataFrame:
+    """``(key, at)``: the tiles of each key.
+
+    Buckets often hold the same rows. Any two of these share the first such bucket of blocks, and the first of
+    bands, so they are never compared in a later one of its kind: one tile, with the least number, stands for all.
+    """
+    once = marked.repartition("key").groupBy("key", "tile", "side").agg(F.min("number").alias("number"))
+    return once.groupBy("key").agg(F.collect_list(F.struct("tile", "number", "side")).alias("at"))
+
+
 def _marked(nodes: DataFrame, radius: int, similarity: float, scratch: Scratch) -> DataFrame:
     """``(tile, number, side, key)``: rows with a candidate, by what they are to be compared in.
 
@@ -634,7 +721,9 @@ def _marked(nodes: DataFrame, radius: int, similarity: float, scratch: Scratch)
             sub += int((~whole).sum())
             at = np.flatnonzero(found)
             if len(at):
-                got = rules.same(bucket[at]).view(np.int64), rules.number(bucket[at]), subs[at], bucket[at].view(np.int64), b.column(1).to_numpy()[at]
+                key, number, one = b.column(1).to_numpy()[at], rules.number(bucket[at]), subs[at] < 0
+                tile = np.where(one, _tile(np.repeat(np.arange(len(size)), size)[at], key, number), rules.same(bucket[at]))
+                got = tile.view(np.int64), number, subs[at], bucket[at].view(np.int64), key
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names)
 
     rows = _buckets(nodes, radius).repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key")
@@ -749,14 +838,13 @@ def _verified(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
             if not (size > 1).any():
                 continue
             number, side, key, norm = b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(6)
-            sh, chars, bags = b.column(4).to_numpy().view(np.uint64), pc.utf8_length(norm).to_numpy(), _bag(norm)
-            words = _word_bag(norm)
+            sh, chars = b.column(4).to_numpy().view(np.uint64), pc.utf8_length(norm).to_numpy()
             # Bands that a tile doesn't ask for are unlike any other row's.
             band = np.full((b.num_rows, WORD_BANDS + PIECE_BANDS), np.arange(b.num_rows)[:, None] + (1 << 32), np.uint64)
             band[np.arange(band.shape[1]) < number[:, None] - 8] = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint32)
 
             def fit(i, j):
-                """The pairs whose first shared bucket this is and that may be similar."""
+                """The pairs whose first shared bucket this is, of like lengths."""
                 out = (side[i] == 0) | (side[i] != side[j])
                 out &= np.abs(chars[i] - chars[j]) <= _most(np.maximum(chars[i], chars[j]), similarity)
                 at = np.flatnonzero(out)
@@ -769,12 +857,15 @@ def _verified(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
                     mine &= (n >= 8) | np.where(n == k, agree, (n < k) | ~agree)
                 for c in range(band.shape[1]):
                     mine &= band[i, c] != band[j, c]
-                mine[mine] = _bags_fit(bags[i[mine]], bags[j[mine]], similarity)
                 out[at] = mine
                 return out
 
-            ids, texts, found = [k << 64 | s for k, s in zip(key.tolist(), sh.tolist())], norm.to_pylist(), []
+            # What is needed of rows in pairs only: most rows are in none whose first shared bucket is their tile's.
+            bags, words = _Lazy(norm, _bag, 32), _Lazy(norm, _word_bag, 64)
+            ids: dict[int, int] = {}
+            texts: dict[int, str] = {}
             split: dict[int, tuple[list[str], list[str]]] = {}
+            group, groups, found = np.zeros(b.num_rows, np.int64), {}, []
 
             def wait(x, y):
                 nonlocal found, unsure, waits
@@ -784,8 +875,14 @@ def _verified(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
                     found += decided(unsure)
                     unsure, waits = [], 0
 
-            group = np.unique(np.array([hash(root(x)) for x in ids]), return_inverse=True)[1]
             for i, j in _pairs(size, fit):
+                use = _bags_fit(bags[i], bags[j], similarity)
+                i, j = i[use], j[use]
+                both = np.unique(np.concatenate([i, j]))
+                new = [r for r in both.tolist() if r not in ids]
+                for r, k, s, text in zip(new, key[new].tolist(), sh[new].tolist(), norm.take(pa.array(new, pa.int64())).to_pylist()):
+                    ids[r], texts[r] = k << 64 | s, text
+                    group[r] = groups.setdefault(root(ids[r]), len(groups))
                 hope = _alignable(words, i, j, _most(np.maximum(chars[i], chars[j]), similarity))
                 later = i[~hope], j[~hope]
                 i, j = i[hope], j[hope]
@@ -802,7 +899,7 @@ def _verified(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
                         a, b_ = (split.get(k) or split.setdefault(k, _split(texts[k])) for k in (x, y))
                         if _words_apart(a, b_, most) <= most:
                             up[max(p, q)] = min(p, q)
-                            group[group == group[y]] = group[x]
+                            group[group == group[y]] = groups[min(p, q)] = group[x]
                             found.append((ids[x], ids[y]))
                         else:
                             wait(x, y)
@@ -825,7 +922,7 @@ def duplicate_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = S
     every = scratch.cut(_occurrences(docs, banded), "lines")
     nodes = scratch.cut(every.groupBy("key", "sh").agg(*(F.min(c).alias(c) for c in _DEALT), F.count(F.lit(1)).alias("n")), "nodes")
     marked = _marked(nodes.select("key", "sh", *_DEALT), radius, similarity, scratch)
-    wanted = scratch.cut(marked.groupBy("key").agg(F.collect_list(F.struct("tile", "number", "side")).alias("at")), "wanted")
+    wanted = scratch.cut(_wanted(marked), "wanted")
     scratch.drop(marked)
     # Lines without a repeat or a candidate stay, whatever the rest does.
     some = nodes.where("n > 1").select("key").unionByName(wanted.select("key")).distinct()

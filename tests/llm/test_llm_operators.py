@@ -500,3 +500,35 @@ def test_cut_leaves_no_shuffle_files(spark):
     got = Scratch(spark, "test").cut(rows)
     assert not files() - before
     assert got.count() == 1000 and spark.conf.get(CLEANUP, None) == conf
+
+
+def test_distances_in_one_number():
+    rng = random.Random(11)
+    pairs = []
+    for n in [1, 7, 8, 9, 63, 64, 65, 400, 900] * 6:
+        a = "".join(rng.choice("abcdeé ") for _ in range(n))
+        b = "".join(c if rng.random() < 0.8 else rng.choice(["", "x", c + "é"]) for c in a) or "x"
+        pairs.append(tuple(sorted((a, b), key=len)))
+    pairs.sort(key=lambda p: len(p[1]))
+    assert line_dedup._packed(pairs).tolist() == [line_dedup.edit_distance(*p) for p in pairs]
+    assert line_dedup._chars([x.encode() for p in pairs for x in p]).tolist() == [len(x) for p in pairs for x in p]
+
+
+def test_tiles_of_the_same_lines_are_one(spark):
+    """Two near copies share nearly all blocks and bands; they are to be compared once by blocks and once by bands."""
+    from formweave.llm.common import Scratch
+
+    rng = random.Random(5)
+    lines = []
+    for _ in range(40):
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(5, 9))) for _ in range(60)]
+        lines += [" ".join(words), " ".join([*words[:-1], "changed"])]
+    scratch = Scratch(spark, "test")
+    nodes = line_dedup._occurrences(frame(spark, list(enumerate(lines))), True).select("key", "sh", *line_dedup._DEALT)
+    marked = line_dedup._marked(nodes, line_dedup.RADIUS, line_dedup.SIMILARITY, scratch)
+    tiles = {r.key: [(t.tile, t.number) for t in r["at"]] for r in line_dedup._wanted(marked).collect()}
+    rows = {tuple(r) for r in marked.select("number", "tile", "key").collect()}
+    # Runs at the ends of ranges are tiles of their own.
+    assert len(rows) > 5 * 80 and len(tiles) == 80 and sum(map(len, tiles.values())) <= 2.25 * 80
+    for key, at in tiles.items():
+        assert all(n == min(m for m, u, k in rows if (u, k) == (t, key)) for t, n in at)
